@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 
 CHUNK_BYTES = 1 << 21
+START = 10  # what stands before a text's first byte: line ends
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 
@@ -132,6 +133,20 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[n
     return out, begin
 
 
+def byte_grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Four bytes ending at each position as a 32-bit number; predecessors of a text's first byte are line ends."""
+    back = [data]
+    for j in (1, 2, 3):
+        prev = np.empty_like(data)
+        prev[j:] = data[:-j] if len(data) > j else data[:0]
+        prev[:j] = START
+        for k in range(j):  # positions closer than j to a text's start
+            at = offs[:-1] + k
+            prev[at[at < np.minimum(offs[1:], len(data))]] = START
+        back.append(prev)
+    return (back[3].astype(np.uint32) << 24) | (back[2].astype(np.uint32) << 16) | (back[1].astype(np.uint32) << 8) | back[0]
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

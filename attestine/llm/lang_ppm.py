@@ -37,7 +37,6 @@ from attestine.llm import kernels
 SAMPLE_ROWS = 300
 SAMPLE_BYTES = 1_000_000
 UNKNOWN = "und"
-_START = 10  # what stands before a text: line ends
 
 
 @dataclass
@@ -51,20 +50,6 @@ class Model:
 
 
 
-def _grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Four bytes ending at each position as a 32-bit number; predecessors of a text's first byte are line ends."""
-    back = [data]
-    for j in (1, 2, 3):
-        prev = np.empty_like(data)
-        prev[j:] = data[:-j] if len(data) > j else data[:0]
-        prev[:j] = _START
-        for k in range(j):  # positions closer than j to a text's start
-            at = offs[:-1] + k
-            prev[at[at < np.minimum(offs[1:], len(data))]] = _START
-        back.append(prev)
-    return (back[3].astype(np.uint32) << 24) | (back[2].astype(np.uint32) << 16) | (back[1].astype(np.uint32) << 8) | back[0]
-
-
 def _costs(counts: list[np.ndarray]) -> np.ndarray:
     """Bits of each symbol in nested contexts, longest first: counts[k] is [row, symbol]."""
     n, a = counts[0].shape
@@ -88,7 +73,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """counts: language -> (four-byte numbers, how often)."""
     languages = sorted(counts)
     seen = np.zeros(256, bool)
-    seen[_START] = True
+    seen[kernels.START] = True
     for gram, _ in counts.values():
         seen[np.unique(gram & 255)] = True
     symbol = np.zeros(256, np.int64)
@@ -127,7 +112,7 @@ def code_lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray
     if not len(data):
         return out
     a = model.shorter.shape[1]
-    gram = _grams(data, offs)
+    gram = kernels.byte_grams(data, offs)
     s = [model.symbol[(gram >> np.uint32(shift)) & np.uint32(255)] for shift in (24, 16, 8, 0)]
     two = s[1] * a + s[2]
     row = model.context[s[0] * (a * a) + two]
@@ -154,7 +139,7 @@ def train(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for first, last, data, offs in kernels.chunks(batch.column(1)):
-                gram, own = _grams(data, offs), np.repeat(np.arange(last - first), np.diff(offs))
+                gram, own = kernels.byte_grams(data, offs), np.repeat(np.arange(last - first), np.diff(offs))
                 names = sorted(set(langs[first:last]))
                 of = np.array([names.index(x) for x in langs[first:last]])[own]
                 for k, lang in enumerate(names):
