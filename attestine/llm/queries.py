@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestine.llm import ctw, exact_dedup, lang_ppm, license_scan, minhash_dedup, mixing, packing, spotsigs, suffix_dedup
+from attestine.llm import compact_windows, ctw, exact_dedup, lang_ppm, license_scan, minhash_dedup, mixing, packing, spotsigs, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 MIX = mixing.Weights({("d0",): 2.0, ("*", "en"): 3.0, ("*", "de"): 2.0, ("*", "fr"): 2.0, ("*", "es"): 1.0})
@@ -42,6 +42,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(documents(spark, sf_dir), width=2, percent=80)
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(documents(spark, sf_dir))
+
+
 def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(documents(spark, sf_dir).select("doc_id", "text"), ~lang_ppm.held_out(7, 2))
 
@@ -71,7 +75,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_sum_of_squares_packing, op2_exact_dedup, op3_minhash_near_dedup, op5_context_tree_scores, op6_mixing, op7_suffix_dedup, op8_ppm_language_id,
+    op1_sum_of_squares_packing, op2_exact_dedup, op3_minhash_near_dedup, op4_compact_windows, op5_context_tree_scores, op6_mixing, op7_suffix_dedup, op8_ppm_language_id,
     op9_spot_signatures, op10_license_scan,
 )
 
