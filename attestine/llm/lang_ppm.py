@@ -151,14 +151,14 @@ def train(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int
     return build({lang: (part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for lang, part in table.groupby("lang")})
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of docs with lang_pred, score and bits_per_byte.
+def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """Every row of docs with lang_pred, score and bits_per_byte; columns of docs with these names are replaced.
 
     score is the posterior of the prediction, all languages being equally likely beforehand.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.languages, model.symbol, model.context, model.cost, model.shorter))  # plain arrays: workers need no copy of the package
-    fields = T.StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    docs = docs.drop(*names)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.symbol, model.context, model.cost, model.shorter))  # plain arrays: workers need no copy of the package
+    fields = T.StructType(list(docs.schema)).add(names[0], "string").add(names[1], "double").add(names[2], "double")
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +170,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             text = batch.column(where)
             best, score, per = [], [], []
             for first, last, data, offs in kernels.chunks(text, 1 << 19):
-                bits = code_lengths(frozen, data, offs)
                 size = np.diff(offs)
                 if frozen.languages:
+                    bits = code_lengths(frozen, data, offs)
                     at = bits.argmin(axis=1)
                     low = bits[np.arange(len(bits)), at]
                     sure = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                         best.append(UNKNOWN), score.append(0.0), per.append(None)
                     else:
                         best.append(frozen.languages[at[k]]), score.append(float(sure[k])), per.append(float(low[k] / size[k]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(per, pa.float64())], schema=pa.schema([*batch.schema, ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(per, pa.float64())], schema=pa.schema([*batch.schema, (names[0], pa.string()), (names[1], pa.float64()), (names[2], pa.float64())]))
 
     return docs.mapInArrow(run, fields)
 
@@ -195,7 +195,8 @@ def held_out(parts: int, remainder: int):
 def keep_recognised(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is recognised, with the columns of docs."""
     model = train(docs)
-    return predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    names = ("__lang_pred", "__score", "__bits_per_byte")
+    return predict(docs, model, names).filter(F.col(names[0]) != UNKNOWN).select(*docs.columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

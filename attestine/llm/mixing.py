@@ -10,7 +10,7 @@ Only per-leaf totals reach the driver: they are as many as leaves, and the water
 of a leaf is found from sums over slices of the hash range, so that no leaf, however large, meets in one task.
 
 Defined cases: null domain, language or source is the leaf part '' (empty); a null or empty text has no tokens and
-is taken with the epoch it falls into; repeated rows are ordered by text, so equal ones tie without effect; a leaf
+is taken with the epoch it falls into; rows with one doc_id are taken together; a leaf
 without a weight counts with weight 1; extra columns pass through; an empty table gives no rows.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from attestine.llm import storage
+
 SLICE_ROWS = 20_000  # rows of a slice of a leaf, on average
 
 
@@ -86,8 +88,7 @@ def budgets(supply: Mapping[tuple[str, ...], int], total: float, weights: Weight
 
 def word_count(text: str = "text") -> Column:
     """Tokens: maximal runs of characters other than space and 0x09-0x0D."""
-    t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D ]+", " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def source_domain(source: str = "source", domains: int = 4) -> Column:
@@ -96,36 +97,59 @@ def source_domain(source: str = "source", domains: int = 4) -> Column:
     return F.concat(F.lit("d"), (F.coalesce(F.when(number != "", number.cast("long")), F.lit(0)) % domains).cast("string"))
 
 
-def mix(docs: DataFrame, total_tokens: int | float, weights: Weights, *, domain: Column | None = None, tokens: Column | None = None, max_epochs: int = 4, seed: int = 0) -> DataFrame:
-    """docs in their mixed amounts: a row for each taken document and epoch, with leaf, n_tokens, epoch, tokens_before, leaf_budget.
+def mix(docs: DataFrame, total_tokens: int | float, weights: Weights, **options) -> DataFrame:
+    """docs in their mixed amounts: a row for each taken document and epoch, with leaf, epoch and leaf_budget.
 
-    total_tokens: an int is tokens; a float is a share of all there are.
+    total_tokens: an int is tokens; a float is a share of all there are. Options: domain and tokens (columns of docs),
+    max_epochs, seed. Columns of docs that are named like the new ones are replaced.
     """
+    new = ("leaf", "epoch", "leaf_budget")
+    return _mixed(docs, total_tokens, weights, **options).select(*[f"_row.{c}" for c in docs.columns if c not in new], *new)
+
+
+def take(docs: DataFrame, total_tokens: int | float, weights: Weights, **options) -> DataFrame:
+    """The same rows with the columns of docs alone."""
+    return _mixed(docs, total_tokens, weights, **options).select("_row.*")
+
+
+def _mixed(docs: DataFrame, total_tokens: int | float, weights: Weights, *, domain: Column | None = None, tokens: Column | None = None, max_epochs: int = 4, seed: int = 0) -> DataFrame:
+    """_row (the columns of docs), leaf, epoch, leaf_budget.
+
+    Texts are read once to be counted. Where a leaf's last epoch ends is found on the narrow table of counts, as the
+    last hash that is taken; the documents are then chosen by comparing their own hash with it, so they are neither
+    shuffled nor sorted.
+    """
+    spark = docs.sparkSession
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     leaf = F.struct(blank(domain if domain is not None else F.lit("")).alias("domain"), blank(F.col("lang")).alias("lang"), blank(F.col("source")).alias("source"))
-    base = docs.withColumns({"leaf": leaf, "n_tokens": tokens if tokens is not None else word_count()})
-    per = base.groupBy("leaf").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # as many rows as leaves
+    counted = storage.materialize(docs.select("doc_id", leaf.alias("leaf"), (tokens if tokens is not None else word_count()).alias("n_tokens")), "mix-counts")
+    per = counted.groupBy("leaf").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # as many rows as leaves
     supply = {tuple(r["leaf"]): r["tokens"] for r in per}
     if isinstance(total_tokens, float):
         total_tokens = total_tokens * sum(supply.values())
     plan = budgets(supply, total_tokens, weights, max_epochs)
-    rows = [(tuple(r["leaf"]), plan[tuple(r["leaf"])], r["tokens"], max(1, -(-r["n"] // SLICE_ROWS))) for r in per]
-    spark = docs.sparkSession
-    kinds = T.StructType().add("leaf", base.schema["leaf"].dataType).add("leaf_budget", "long").add("leaf_tokens", "long").add("slices", T.IntegerType())
-    table = F.broadcast(spark.createDataFrame(rows, kinds))  # as many rows as leaves
-    whole = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("leaf_budget") / F.col("leaf_tokens"))).otherwise(F.lit(0)).cast("int")
-    taken = base.join(table, "leaf").withColumn("whole", whole).withColumn("left", F.col("leaf_budget") - F.col("whole") * F.col("leaf_tokens"))
-
-    order = lambda epoch: F.xxhash64(F.lit(seed), epoch, F.col("doc_id"))
-    full = taken.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).withColumn("tokens_before", F.lit(None).cast("long"))
-    last = taken.filter("left > 0").withColumn("epoch", F.col("whole")).withColumn("place", order(F.col("whole")))
+    whole = {path: plan[path] // n if n else 0 for path, n in supply.items()}
+    rows = [(tuple(r["leaf"]), plan[tuple(r["leaf"])], whole[tuple(r["leaf"])], plan[tuple(r["leaf"])] - whole[tuple(r["leaf"])] * r["tokens"], max(1, -(-r["n"] // SLICE_ROWS))) for r in per]
+    kinds = T.StructType().add("leaf", counted.schema["leaf"].dataType).add("leaf_budget", "long").add("whole", T.IntegerType()).add("left", "long").add("slices", T.IntegerType())
+    leaves = spark.createDataFrame(rows, kinds)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Where a document stands in its leaf's last epoch."""
+        return rows.join(F.broadcast(leaves), "leaf").withColumn("place", F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id")))  # as many rows as leaves
+
     # a slice is a range of the hash, so slices in order and places within a slice are places in order
     share = F.col("place").cast("double") / F.lit(float(1 << 64)) + F.lit(0.5)
-    last = last.withColumn("slice", F.least(F.floor(share * F.col("slices")).cast("int"), F.col("slices") - 1))
+    last = placed(counted).filter("left > 0").withColumn("slice", F.least(F.floor(share * F.col("slices")).cast("int"), F.col("slices") - 1))
     sums = last.groupBy("leaf", "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
-    before = sums.withColumn("slice_before", F.coalesce(F.sum("slice_tokens").over(Window.partitionBy("leaf").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    running = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("leaf", "slice").orderBy("place", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = last.join(before.drop("slice_tokens"), ["leaf", "slice"]).filter(F.col("slice_before") < F.col("left"))
-    last = last.withColumn("tokens_before", F.col("slice_before") + running).filter(F.col("tokens_before") < F.col("left"))
-    keep = [*docs.columns, "leaf", "n_tokens", "epoch", "tokens_before", "leaf_budget"]
-    return full.select(*keep).unionByName(last.select(*keep))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("slice_before", F.coalesce(F.sum("slice_tokens").over(upto("leaf").orderBy("slice")), F.lit(0))).drop("slice_tokens")
+    # documents of a hash come together, so repeated rows of a document do
+    by_place = last.groupBy("leaf", "slice", "place", "left").agg(F.sum("n_tokens").alias("n_tokens"))
+    running = F.col("slice_before") + F.coalesce(F.sum("n_tokens").over(upto("leaf", "slice").orderBy("place")), F.lit(0))
+    begun = by_place.join(before, ["leaf", "slice"]).filter(F.col("slice_before") < F.col("left")).withColumn("before", running).filter(F.col("before") < F.col("left"))
+    ends = {tuple(r["leaf"]): r["end"] for r in begun.groupBy("leaf").agg(F.max("place").alias("end")).collect()}  # as many rows as leaves
+    final = spark.createDataFrame([(*r, ends.get(r[0])) for r in rows], T.StructType(list(kinds)).add("end", "long"))
+    joined = docs.select(F.struct(*docs.columns).alias("_row"), leaf.alias("leaf"), "doc_id").join(F.broadcast(final), "leaf").withColumn("place", F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id")))
+    full = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
+    more = F.when(F.col("place") <= F.col("end"), F.array("whole")).otherwise(F.array().cast("array<int>"))
+    return joined.withColumn("epoch", F.explode(F.concat(full, more))).select("_row", "leaf", "epoch", "leaf_budget")

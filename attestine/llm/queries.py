@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestine.llm import compact_windows, ctw, exact_dedup, lang_ppm, license_scan, minhash_dedup, mixing, packing, spotsigs, suffix_dedup
+from attestine.llm import compact_windows, ctw, exact_dedup, lang_ppm, license_scan, minhash_dedup, mixing, packing, spotsigs, storage, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 MIX = mixing.Weights({("d0",): 2.0, ("*", "en"): 3.0, ("*", "de"): 2.0, ("*", "fr"): 2.0, ("*", "es"): 1.0})
@@ -51,8 +51,10 @@ def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir), 1.0, MIX, domain=mixing.source_domain(), max_epochs=4, seed=7)
-    return mixed.select("doc_id", F.col("leaf.domain").alias("domain"), F.col("leaf.lang").alias("lang"), F.col("leaf.source").alias("source"), "epoch", "n_tokens", "tokens_before", "leaf_budget")
+    counted = documents(spark, sf_dir).select("doc_id", "lang", "source", mixing.word_count().alias("n_tokens"))
+    counted = storage.materialize(counted, "word-counts")
+    mixed = mixing.mix(counted, 1.0, MIX, domain=mixing.source_domain(), tokens=F.col("n_tokens"), max_epochs=4, seed=7)
+    return mixed.select("doc_id", F.col("leaf.domain").alias("domain"), F.col("leaf.lang").alias("lang"), F.col("leaf.source").alias("source"), "epoch", "n_tokens", "leaf_budget")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
