@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, mixed to the target weights; a leaf gives each document up to four times."""
-    return mixing.mix(docs, 1.0, MIX, domain=mixing.source_domain(), max_epochs=4, seed=7).select(*docs.columns)
+    return mixing.take(docs, 1.0, MIX, domain=mixing.source_domain(), max_epochs=4, seed=7)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
