@@ -134,7 +134,7 @@ def build(gram: np.ndarray, times: np.ndarray) -> Model:
         cost = np.zeros((len(p), 1))
         for depth in range(8):
             node = p[:, 1 << depth : 2 << depth]
-            cost = np.stack([cost - np.log2(1 - node), cost - np.log2(node)], axis=2).reshape(len(p), -1)
+            cost = np.stack([cost - np.log2(1 - node), cost - np.log2(node)], axis=2).reshape(len(p), 2 << depth)
         return cost.astype(np.float32)
 
     # rows: known contexts, then for what lies beyond them: known pairs, known singles, none
