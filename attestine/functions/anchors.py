@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestine.functions.spans import nearest, occurrences
-from attestine.functions.tokens import strip
+from attestine.functions.tokens import pinned, strip
 
 CONTEXT = 32
 LEAST_RATIO = 0.90
@@ -93,7 +93,7 @@ def anchor_ladder(rows: DataFrame) -> DataFrame:
 
     The exact rung is native; only rows that it leaves are sent to the UDF.
     """
-    first = rows.withColumn("anchor", anchor_exact(F.col("quote"), F.col("target"), F.col("near")).cast(FOUND))
+    first = pinned(rows.withColumn("anchor", anchor_exact(F.col("quote"), F.col("target"), F.col("near")).cast(FOUND)), "anchor")
 
     @F.pandas_udf(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("strategy", T.StringType()).add("score", T.DoubleType()))
     def loose(quote: pd.Series, target: pd.Series, near: pd.Series) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestine.functions.pages import sanitize
+from attestine.functions.tokens import let
 
 STYLE = "#receipt{position:sticky;top:0;background:#fff;border-bottom:2px solid #264;padding:.5em;font:14px sans-serif}"
 SCRIPT = "window.receiptAnchor=%s;"
@@ -38,8 +39,9 @@ def render(page: Column, claim: Column, url: Column, verdict: Column, tactic: Co
     """The sanitised page with the banner after its <body> tag, or before everything if it has none."""
     before, after = SCRIPT.split("%s")
     inset = F.concat(F.lit(f"<style>{STYLE}</style>"), banner(claim, url, verdict, tactic, sha256), F.lit(f"<script>{before}"), anchor_json(anchor), F.lit(f"{after}</script>"))
-    safe = sanitize(page)
-    tag = F.instr(F.lower(safe), "<body")
-    shut = F.when(tag > 0, tag + F.instr(F.substring(safe, tag, F.length(safe)), ">") - 1)
-    found = (tag > 0) & (shut >= tag)
-    return F.when(found, F.concat(F.left(safe, shut), inset, F.substring(safe, shut + 1, F.length(safe)))).otherwise(F.concat(inset, safe))
+    return let(sanitize(page), lambda safe: let(F.instr(F.lower(safe), "<body"), lambda tag: _inset(safe, inset, tag)))
+
+
+def _inset(safe: Column, inset: Column, tag: Column) -> Column:
+    shut = tag + F.instr(F.substring(safe, tag, F.length(safe)), ">") - 1
+    return F.when((tag > 0) & (shut >= tag), F.concat(F.left(safe, shut), inset, F.substring(safe, shut + 1, F.length(safe)))).otherwise(F.concat(inset, safe))

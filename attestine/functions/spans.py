@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestine.functions.lexicon import HEADINGS, LEADING_ANAPHORS
-from attestine.functions.tokens import strip
+from attestine.functions.tokens import let, strip
 
 END, CUT = "\u0001", "\u0002"
 BOUNDARY = r"(?U)([.!?]+)((?:\[[^\]]{1,24}\])*\s+)"
@@ -20,6 +20,10 @@ def candidate_spans(text: Column) -> Column:
     """
     clean = F.regexp_replace(text, f"[{END}{CUT}]", "�")
     pieces = F.split(F.regexp_replace(clean, BOUNDARY, f"$1{END}$2{CUT}"), CUT, -1)
+    return let(pieces, _spans_of)
+
+
+def _spans_of(pieces: Column) -> Column:
     sizes = F.transform(pieces, lambda p: F.length(p) - F.when(F.instr(p, END) > 0, 1).otherwise(0))
     offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 

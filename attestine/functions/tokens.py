@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestine.functions.lexicon import CONTENT_STOPLIST
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: in a lambda's body an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def pinned(rows: DataFrame, *names: str) -> DataFrame:
+    """rows, with these columns computed once: a generator ends the merging of projections, which would copy them into every use."""
+    rest = [x for x in rows.columns if x not in names]
+    return rows.select(*rest, F.explode(F.array(F.struct(*names))).alias("_pinned")).select(*rest, "_pinned.*")
+
+
 def words_literal(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from attestine.functions.spans import candidate_spans, has_leading_anaphor, is_citable_prose, naive_sentences, preceding_context
 from attestine.functions.symbolic import with_consistency
-from attestine.functions.tokens import content_words, directed_overlap, jaccard, strip, token_set
+from attestine.functions.tokens import content_words, directed_overlap, jaccard, let, pinned, strip, token_set
 from attestine.operators.gate import is_ok
 from attestine.operators.ranking import prefilter
 
@@ -56,8 +56,10 @@ def bind(pairs: DataFrame, config: BinderConfig | None = None) -> DataFrame:
     spans = F.filter(candidate_spans(F.col("source_text")), lambda s: is_citable_prose(s["text"]))
     cut = pairs.withColumn("_spans", F.when(ok & F.col("claim").isNotNull(), spans).otherwise(F.array().cast("array<struct<text:string,start:int,end:int>>")))
     cut = cut.withColumn("_claim_words", content_words(F.col("claim")))
+    cut = pinned(cut, "_spans", "_claim_words")
     order = prefilter(F.col("_claim_words"), F.transform("_spans", lambda s: s["text"]), c.prefilter_k)
-    ranked = cut.withColumn("_order", order).withColumn("_spans", F.transform("_order", lambda i: F.get(F.col("_spans"), i)))
+    ranked = pinned(cut.withColumn("_order", order), "_order")
+    ranked = ranked.withColumn("_spans", F.transform("_order", lambda i: F.get(F.col("_spans"), i)))
 
     def entailment(span: Column) -> Column:
         score = c.scorer(F.col("claim"), span["text"])
@@ -67,17 +69,18 @@ def bind(pairs: DataFrame, config: BinderConfig | None = None) -> DataFrame:
         gate = (score < c.tau) & (F.size("_claim_words") > 0) & has_leading_anaphor(span["text"]) & (directed_overlap(F.col("_claim_words"), content_words(span["text"])) >= c.coref_overlap)
         return F.when(gate & (context != ""), F.greatest(score, c.scorer(F.col("claim"), F.concat(context, F.lit(" "), span["text"])))).otherwise(score)
 
-    scored = ranked.withColumn("_e", F.transform("_spans", entailment))
+    ranked = pinned(ranked, "_spans")
+    scored = pinned(ranked.withColumn("_e", F.transform("_spans", entailment)), "_e")
     best = F.array_max("_e")
     # consistency matters for spans over the threshold and for the best one
-    asked = F.zip_with("_spans", "_e", lambda s, e: F.when((e >= c.tau) | (e == best), s["text"]))
+    asked = let(best, lambda top: F.zip_with("_spans", "_e", lambda s, e: F.when((e >= c.tau) | (e == top), s["text"])))
     if c.symbolic:
         checked = with_consistency(scored.withColumn("_asked", asked), "claim", "_asked", "_ok")
     else:
         checked = scored.withColumn("_ok", F.transform("_e", lambda e: F.lit(True)))
     zipped = F.transform(F.arrays_zip("_e", "_ok", "_spans"), lambda z, i: F.struct((-z["_e"]).alias("e"), i.alias("i"), z["_ok"].alias("ok"), z["_spans"].alias("span")))
     # array_min orders by score, then by rank; the rest of the struct never decides
-    checked = checked.withColumn("_all", zipped)
+    checked = pinned(checked.withColumn("_all", zipped), "_all")
     winner = F.array_min(F.filter("_all", lambda z: (-z["e"] >= c.tau) & z["ok"]))
     picked = checked.withColumn("_win", winner).withColumn("_best", F.coalesce("_win", F.array_min("_all")))
     second = F.lit(None).cast("double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestine.functions import lexicon
-from attestine.functions.tokens import content_words, token_set
+from attestine.functions.tokens import content_words, let, token_set
 
 
 def idf_weights(words: Column, pool: Column) -> Column:
@@ -20,9 +20,9 @@ def idf_scores(words: Column, pool: Column) -> Column:
 
     def score(weights: Column) -> Column:
         zipped = F.arrays_zip(words.alias("w"), weights.alias("x"))
-        return F.transform(pool, lambda s: F.round(F.aggregate(zipped, F.lit(0.0), lambda acc, z: acc + F.when(F.array_contains(s, z["w"]), z["x"]).otherwise(0.0)), 6))
+        return let(zipped, lambda pairs: F.transform(pool, lambda s: F.round(F.aggregate(pairs, F.lit(0.0), lambda acc, z: acc + F.when(F.array_contains(s, z["w"]), z["x"]).otherwise(0.0)), 6)))
 
-    return F.flatten(F.transform(F.array(idf_weights(words, pool)), score))  # weights are computed once
+    return let(idf_weights(words, pool), score)
 
 
 def idf_overlap(pool: DataFrame, query: str = "query_words", words: str = "words") -> DataFrame:
@@ -39,11 +39,14 @@ def idf_overlap(pool: DataFrame, query: str = "query_words", words: str = "words
 def prefilter(claim_words: Column, texts: Column, k: int = 48) -> Column:
     """Indices of the candidates worth scoring, best first: all in order if they are k or fewer, else the k best by IDF overlap."""
     places = F.sequence(F.lit(0), F.size(texts) - 1)
-    words = F.transform(texts, content_words)
-    keyed = F.zip_with(idf_scores(claim_words, words), places, lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
-    best = F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["i"])
+
+    def best(asked: Column, sets: Column) -> Column:
+        keyed = F.zip_with(idf_scores(asked, sets), places, lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
+        return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["i"])
+
+    ranked = let(claim_words, lambda asked: let(F.transform(texts, lambda t: content_words(t)), lambda sets: best(asked, sets)))
     few = (F.size(texts) <= k) | F.lit(k <= 0)
-    return F.when(F.size(texts) == 0, F.array().cast("array<int>")).when(few, places).when(F.size(claim_words) == 0, F.slice(places, 1, max(k, 1))).otherwise(best)
+    return F.when(F.size(texts) == 0, F.array().cast("array<int>")).when(few, places).when(F.size(claim_words) == 0, F.slice(places, 1, max(k, 1))).otherwise(ranked)
 
 
 def top_sources(claims: DataFrame, sources: DataFrame, k: int = 3) -> DataFrame:

@@ -287,7 +287,7 @@ def prefilter_topk(spark, d):
     c, s = relations.claims(spark, d), relations.ok_sources(spark, d)
     near = ranking.top_sources(c, s).join(s, "source_id").join(c, "claim_id").select((F.col("claim_id") * 10 + F.col("source_rank")).alias("pair_id"), "claim", "text")
     texts = F.transform(F.filter(spans.candidate_spans(F.col("text")), lambda x: spans.is_citable_prose(x["text"])), lambda x: x["text"])
-    rows = near.withColumn("texts", texts).withColumn("words", tokens.content_words(F.col("claim"))).select("pair_id", F.posexplode(ranking.prefilter(F.col("words"), F.col("texts"))).alias("rank", "candidate"))
+    rows = tokens.pinned(near.withColumn("texts", texts).withColumn("words", tokens.content_words(F.col("claim"))), "texts", "words").select("pair_id", F.posexplode(ranking.prefilter(F.col("words"), F.col("texts"))).alias("rank", "candidate"))
     return rows.select("pair_id", F.col("rank").cast("long").alias("rank"), F.col("candidate").cast("long").alias("candidate"))
 
 
@@ -552,7 +552,8 @@ def _anchored(spark, d):
     p = relations.read(spark, d, "pages").withColumn("main", pages.main_text(F.col("html"))).withColumn("target", pages.visible_text(F.col("html")))
     s = F.get(spans.candidate_spans(F.col("main")), F.lit(1))
     near = anchors.proportional_near(F.col("s.start"), F.length("main"), F.length("target"))
-    return p.withColumn("s", s).filter("s IS NOT NULL").select("page_id", "url", "html", F.col("s.text").alias("quote"), "target", near.alias("near"))
+    found = tokens.pinned(tokens.pinned(p, "main", "target").withColumn("s", s), "s").filter("s IS NOT NULL")
+    return tokens.pinned(found.select("page_id", "url", "html", F.col("s.text").alias("quote"), "target", near.alias("near")), "near")
 
 
 @query()
@@ -569,7 +570,7 @@ def proportional_near(spark, d):
 
 @query()
 def receipt_html(spark, d):
-    rows = anchors.anchor_ladder(_anchored(spark, d)).filter("anchor IS NOT NULL")
+    rows = tokens.pinned(anchors.anchor_ladder(_anchored(spark, d)).filter("anchor IS NOT NULL"), "anchor")
     html = receipts.render(F.col("html"), F.col("quote"), F.col("url"), F.lit("OK"), F.lit("direct"), artifacts.digest(F.col("html")), F.col("anchor"))
     return rows.select("page_id", F.md5(html.cast("binary")).alias("digest"), F.length(html).alias("n_chars"))
 
