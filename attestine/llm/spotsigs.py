@@ -33,32 +33,20 @@ MOST_BUCKETS = 65536
 _LEAST = -(1 << 63)
 
 
-def _alternatives(words: list[str]) -> str:
-    """A regular expression for exactly these words, sharing prefixes."""
-    heads: dict[str, list[str]] = {}
-    for w in sorted(set(words)):
-        heads.setdefault(w[:1], []).append(w[1:])
-    parts = [c + _alternatives(rest) for c, rest in heads.items() if c]
-    body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")" if parts else ""
-    return f"(?:{body})?" if "" in heads and body else body
-
-
 def signatures(text: Column, chain: int = 2) -> Column:
     """Sorted distinct 32-bit signatures of a text."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    spaced = F.concat(F.lit(" "), plain, F.lit(" "))
-    # U+0001 before a run of anchors and U+0002 before its last, which the words can't hold
-    anchor = f" {_alternatives(ANCHORS)}(?= )"
-    marked = F.regexp_replace(spaced, f"((?:{anchor})*)({anchor})", "\u0001$1\u0002$2\u0002")
-    spots = F.slice(F.split(marked, "\u0001"), 2, 1 << 30)
+    # U+0001 before each anchor and U+0002 after it, which the words can't hold; a space after every other word
+    marked = F.transform(F.split(plain, " "), lambda w: F.when(w.isin(*ANCHORS), F.concat(F.lit("\u0001"), w, F.lit("\u0002"))).otherwise(F.concat(w, F.lit(" "))))
+    # what stands before the first anchor is no spot; of a run of anchors the last one has content after it
+    spots = F.filter(F.slice(F.split(F.array_join(marked, ""), "\u0001"), 2, 1 << 30), lambda s: ~F.endswith(s, F.lit("\u0002")))
 
     def signature(spots: Column, spot: Column, at: Column) -> Column:
-        anchor_word = F.substring_index(F.substring_index(spot, "\u0002", 2), "\u0002", -1)
         content = F.substring_index(spot, "\u0002", -1)
-        for k in range(1, chain):  # a spot has one content word at least, but for the last
-            content = F.concat(F.rtrim(content), F.substring_index(F.coalesce(F.get(spots, at + k), F.lit("\u0002 ")), "\u0002", -1))
-        words = F.split(F.trim(content), " ")
-        return F.when((F.size(words) >= chain) & (words[0] != ""), F.hash(anchor_word, F.array_join(F.slice(words, 1, chain), " ")))
+        for k in range(1, chain):  # a spot has one content word at least
+            content = F.concat(content, F.substring_index(F.coalesce(F.get(spots, at + k), F.lit("")), "\u0002", -1))
+        links = F.substring_index(content, " ", chain)
+        return F.when(F.length(links) < F.length(content), F.hash(F.substring_index(spot, "\u0002", 1), links))
 
     all_words = F.when(plain == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(F.lit("all"), plain)))
     # the lambda's one variable keeps the split array from being evaluated for every spot
