@@ -20,9 +20,12 @@ Groups are never gathered: classes are found by partial aggregation, and their m
 where it is skewed. Bit maps of a fixed size, made from the counts of step 1, spare later steps most bundles with
 unique minimizers; where the maps are full they merely spare less.
 
-Defined cases: null text is empty; texts shorter than `length` lose nothing; rows with the same doc_id and text are
-one document; rows with the same doc_id and other texts are ordered by a hash of the text; a null doc_id comes first;
-extra columns are ignored; an empty table gives no rows.
+A position is one number, its document's place in the order of documents and its place there; doc_ids serve as the
+document's place where they are distinct and from 0 to 2^35, else documents are numbered first.
+
+Defined cases: null text is empty; texts shorter than `length` lose nothing; rows with the same doc_id come in the order
+of their texts, so that of repeated rows the later ones are removed; a null doc_id comes first; a text of 2^28 bytes
+or more is an error; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ from attestine.llm import kernels, storage
 LENGTH = 100
 GRAM = 24
 MAP_BITS = 27
-_LEAST = -(1 << 63)
+PLACE_BITS = 28  # of a position within its document
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -78,8 +81,23 @@ def bundles(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     return doc[first], window[first], count, hashes[chosen[first]], prefix
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64("text").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
+def _based(docs: DataFrame) -> DataFrame:
+    """doc_id, text and base, the position of a document's first byte: distinct, in the order of documents."""
+    spark = docs.sparkSession
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows, ids, low, high = plain.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    if rows == ids and (rows == 0 or (low >= 0 and high < 1 << (63 - PLACE_BITS))):
+        return plain.withColumn("base", F.call_function("shiftleft", F.col("doc_id").cast("long"), F.lit(PLACE_BITS)))
+    # numbers rise with the partition and within it; as many rows as partitions are needed to close the gaps
+    numbered = storage.materialize(plain.orderBy(F.asc_nulls_first("doc_id"), "text").withColumn("id", F.monotonically_increasing_id()), "numbered")
+    counts = sorted((r["part"], r["n"]) for r in numbered.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    begin, total = [], 0
+    for part, n in counts:
+        begin.append((part, total))
+        total += n
+    begins = F.broadcast(spark.createDataFrame(begin, "part long, begin long"))
+    row = F.col("begin") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn("part", F.shiftright("id", 33)).join(begins, "part").select("doc_id", "text", F.call_function("shiftleft", row, F.lit(PLACE_BITS)).alias("base"))
 
 
 def _minimizer_counts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -118,88 +136,94 @@ def _bit_maps(minimizers: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def _within(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    place = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def _repeated_bundles(keyed: DataFrame, maps, bits: int, length: int, gram: int) -> DataFrame:
     """Bundles whose minimizer may be repeated; with their bytes where bundles of this minimizer may differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, differ = maps.value
-        mask = np.uint64((1 << bits) - 1)
-
-        def within(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-            return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-
         for batch in batches:
-            for first, last, data, offs in kernels.chunks(batch.column(2)):
+            for first, last, data, offs in kernels.chunks(batch.column(1)):
+                if len(offs) > 1 and np.diff(offs).max() >> PLACE_BITS:
+                    raise ValueError(f"a text has 2^{PLACE_BITS} bytes or more")
                 doc, start, count, least, prefix = bundles(data, offs, length, gram)
-                place = (least & mask).astype(np.int64)
-                keep = np.flatnonzero(within(some, place))
-                doc, start, count, least, place = doc[keep], start[keep], count[keep], least[keep], place[keep]
+                keep = np.flatnonzero(_within(some, least, bits))
+                doc, start, count, least = doc[keep], start[keep], count[keep], least[keep]
                 end = start + count + length - 1
                 one = kernels.span_hash(prefix, start, end)
                 two = kernels.span_hash(kernels.prefix_hash(data, 1), start, end, 1)
-                with_bytes = within(differ, place)
-                size = np.where(with_bytes, end - start, 0)
+                size = np.where(_within(differ, least, bits), end - start, 0)
                 offsets = np.zeros(len(size) + 1, np.int32)
                 np.cumsum(size, out=offsets[1:])
                 take = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
                 text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[take]))])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:last].take(pa.array(doc)), batch.column(1)[first:last].take(pa.array(doc)), pa.array((start - offs[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), kernels.as_long(least), kernels.as_long(one), kernels.as_long(two), text],
-                    ["doc", "copy", "start", "n", "m", "h1", "h2", "bytes"],
-                )
+                base = batch.column(0)[first:last].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(base[doc] + start - offs[doc]), pa.array(count.astype(np.int32)), kernels.as_long(one), kernels.as_long(two), text], ["at", "n", "h1", "h2", "bytes"])
 
-    return keyed.select("doc", "copy", "text").mapInArrow(run, "doc long, copy long, start int, n int, m long, h1 long, h2 long, bytes binary")
+    return keyed.select("base", "text").mapInArrow(run, "at long, n int, h1 long, h2 long, bytes binary")
 
 
-def _rank_pairs(firsts: DataFrame, length: int) -> DataFrame:
-    """For every window of a bundle, the ranks of its first half and of the rest at that offset."""
+def _rank_pairs(firsts: DataFrame, length: int, maps=None, bits: int = 0) -> DataFrame:
+    """For every window of a bundle, the ranks of its first half and of the rest at that offset; those in the bit map, if there is one."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(4)
-            for first, last, data, offs in kernels.chunks(column, 1 << 19):
-                count = batch.column(3)[first:last].to_numpy()
+            for first, last, data, offs in kernels.chunks(batch.column(2), 1 << 19):
+                count, begin = batch.column(1)[first:last].to_numpy(), batch.column(0)[first:last].to_numpy()
                 row = np.repeat(np.arange(last - first), count)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 at = offs[row] + step
                 a = kernels.span_hash(kernels.prefix_hash(data), at, at + half)
                 b = kernels.span_hash(kernels.prefix_hash(data, 1), at + half, at + length, 1)
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:last].take(rows), batch.column(1)[first:last].take(rows), pa.array((batch.column(2)[first:last].to_numpy()[row] + step).astype(np.int32)), kernels.as_long(a), kernels.as_long(b)],
-                    ["doc", "copy", "start", "r1", "r2"],
-                )
+                where = begin[row] + step
+                if maps is not None:
+                    keep = _within(maps.value, a ^ b, bits)
+                    a, b, where = a[keep], b[keep], where[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(where), kernels.as_long(a), kernels.as_long(b)], ["at", "r1", "r2"])
 
-    return firsts.select("doc", "copy", "start", "n", "bytes").mapInArrow(run, "doc long, copy long, start int, r1 long, r2 long")
+    return firsts.select("at", "n", "bytes").mapInArrow(run, "at long, r1 long, r2 long")
 
 
-def _later(rows: DataFrame, keys: list[str], n) -> DataFrame:
-    """doc, copy, start, n (windows) of the members of each class of keys but the first."""
-    place = F.struct("doc", "copy", "start")
-    firsts = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
-    return rows.join(firsts, keys).filter(place > F.col("first")).select("doc", "copy", "start", n.cast("int").alias("n"))
+def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and first of each class with members at different positions."""
+    return rows.groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, map_bits: int = MAP_BITS) -> DataFrame:
-    """doc, copy, spans: an array of (start, end) of covered bytes, not merged yet; documents without any don't appear."""
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map_bits: int = MAP_BITS) -> DataFrame:
+    """base, spans: an array of (start, end) of covered bytes, not merged yet; documents without any don't appear. keyed: base, text."""
     if not 0 < gram <= length // 2:
         raise ValueError("gram must be from 1 to half the length")
-    spark = docs.sparkSession
-    keyed = _keyed(docs)
+    spark = keyed.sparkSession
     minimizers = storage.materialize(_minimizer_counts(keyed, length, gram), "minimizers")
     maps = spark.sparkContext.broadcast(_bit_maps(minimizers, map_bits))
-    # minimizers that only the maps' collisions let pass are dropped by the join
+    storage.discard(minimizers)
     some = storage.materialize(_repeated_bundles(keyed, maps, map_bits, length, gram), "bundles")
+    maps.unpersist()
+    storage.free_shuffles(spark)
+    narrow = some.select("at", "n", "h1", "h2")
+    whole = narrow.join(_classes(narrow, ["h1", "h2"]), ["h1", "h2"]).filter("at > first").select("at", "n")
+    whole = storage.materialize(whole, "later-bundles")
+    # a later one of equal bundles has nothing that the first hasn't
+    firsts = storage.materialize(some.filter(F.octet_length("bytes") > 0).select("at", "n", "bytes").join(whole.select("at"), "at", "left_anti"), "first-bundles")
+    storage.discard(some)
+    storage.free_shuffles(spark)
+    classes = storage.materialize(_classes(_rank_pairs(firsts, length), ["r1", "r2"]), "window-classes")
     storage.free_shuffles(spark)
-    whole = storage.materialize(_later(some.select("doc", "copy", "start", "n", "h1", "h2"), ["h1", "h2"], F.col("n")), "later-bundles")
-    differing = minimizers.filter("differ").select("m")
-    firsts = some.filter(F.octet_length("bytes") > 0).join(differing, "m", "left_semi").join(whole.select("doc", "copy", "start"), ["doc", "copy", "start"], "left_anti")
-    pairs = storage.materialize(_rank_pairs(firsts, length), "rank-pairs")
+    either = classes.select(F.col("r1").bitwiseXOR(F.col("r2")).alias("m"), F.lit(False).alias("differ"))
+    seen = spark.sparkContext.broadcast(_bit_maps(either, map_bits)[0])
+    single = _rank_pairs(firsts, length, seen, map_bits).join(classes, ["r1", "r2"]).filter("at > first").select("at", F.lit(1).alias("n"))
+    start = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    spans = whole.union(single).select(F.col("at").bitwiseAND(F.lit(-(1 << PLACE_BITS))).alias("base"), F.struct(start.alias("start"), (start + F.col("n") + (length - 1)).alias("end")).alias("span"))
+    out = storage.materialize(spans.groupBy("base").agg(F.collect_list("span").alias("spans")), "spans")  # bounded by a document's length
+    for table in (whole, firsts, classes):
+        storage.discard(table)
     storage.free_shuffles(spark)
-    single = _later(pairs, ["r1", "r2"], F.lit(1))
-    spans = whole.union(single).select("doc", "copy", F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end")).alias("span"))
-    return storage.materialize(spans.groupBy("doc", "copy").agg(F.collect_list("span").alias("spans")), "spans")  # bounded by a document's length
+    return out
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,9 +236,9 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) for every row of docs."""
-    spans = repeated_spans(docs, length)
-    keyed = docs.select("doc_id", "text").withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "copy": F.xxhash64("text")})
-    joined = keyed.join(spans, ["doc", "copy"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    keyed = _based(docs)
+    spans = repeated_spans(keyed.select("base", "text"), length)
+    joined = keyed.join(spans, "base", "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
