@@ -158,23 +158,32 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     same = sets.filter("n_shingles > 0").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     same = storage.materialize(same, "equal-sets")
     reps = sets.join(same.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo", "n_shingles"), ["doc_id", "set_hi", "set_lo", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set_hi", "set_lo"])
-    reps = reps.select("doc_id", "sketch", "bands")
-    members = reps.select(F.explode("bands").alias("bucket"), "doc_id")
-    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    buckets = storage.materialize(members.join(several, "bucket", "left_semi").withColumn("component", F.col("doc_id")), "buckets")
+    reps = reps.select("doc_id", "n_shingles", "sketch", "bands")
+    members = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").cast("int").alias("size"))
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = storage.materialize(members.join(several, "bucket"), "buckets")
+    # who shares most buckets with others is nearest to most of them, as an original is to its copies: it leads
+    lead_order = sized.groupBy("doc_id").agg((-F.sum("n")).alias("order"))
+    buckets = storage.materialize(sized.drop("n").join(lead_order, "doc_id").withColumn("component", F.col("doc_id")), "buckets")
     sketches = reps.select("doc_id", "sketch").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
     sketches = storage.materialize(sketches, "sketches")
     seen: list[DataFrame] = []
     found: list[DataFrame] = []
 
+    comps: DataFrame | None = None
+
     def meet(met: DataFrame) -> DataFrame:
-        """Verify met (a, b), leaving out pairs seen before; the components so far."""
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """Verify met (a, b and their sizes), leaving out pairs seen before; the components so far."""
+        alike = 100 * F.least("size", "lead_size") >= percent * F.greatest("size", "lead_size")  # else the similarity can't be reached
+        pairs = met.filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for before in seen:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         seen.append(storage.materialize(pairs, "pairs"))
         close = storage.materialize(_close(seen[-1], sketches, bands * rows, percent / 100 - SKETCH_SLACK), "close")
-        found.append(storage.materialize(_verify(close, docs, width, percent), "found"))
+        new = storage.materialize(_verify(close, docs, width, percent), "found")
+        if comps is not None and new.isEmpty():
+            return comps
+        found.append(new)
         return storage.materialize(connected_components(reduce(DataFrame.union, found)), "components")
 
     def still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -183,17 +192,19 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
         mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
         return storage.materialize(named.join(mixed, "bucket", "left_semi"), "buckets")
 
-    # at first each document meets one leader only, the smallest of its buckets' leaders
-    lead = buckets.groupBy("bucket").agg(F.min("doc_id").alias("lead"))
-    comps = meet(buckets.join(lead, "bucket").groupBy(F.col("doc_id").alias("a")).agg(F.min("lead").alias("b")).filter("a <> b"))
+    # at first each document meets one leader only, the first of its buckets' leaders
+    place = F.struct("order", "doc_id", "size", "component")
+    lead = buckets.groupBy("bucket").agg(F.min(place).alias("lead"))
+    first = buckets.join(lead, "bucket").groupBy(F.col("doc_id").alias("a"), "size").agg(F.min("lead").alias("lead"))
+    comps = meet(first.select("a", F.col("lead.doc_id").alias("b"), "size", F.col("lead.size").alias("lead_size")).filter("a <> b"))
     buckets, leaders = still_open(buckets, comps), 1
     while not buckets.isEmpty():
-        lead = _least(buckets, leaders)
-        met = buckets.join(lead, "bucket").withColumn("lead", F.explode("leads")).filter(F.col("lead")["component"] != F.col("component"))
-        comps = meet(met.select(F.col("doc_id").alias("a"), F.col("lead")["doc_id"].alias("b")))
+        lead = _first(buckets, leaders)
+        met = buckets.join(lead, "bucket").withColumn("lead", F.explode("leads")).filter(F.col("lead.component") != F.col("component"))
+        comps = meet(met.select(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b"), "size", F.col("lead.size").alias("lead_size")))
         # leaders have met everyone of their bucket
         rest = buckets.join(lead, "bucket").filter(~F.exists("leads", lambda x: x["doc_id"] == F.col("doc_id"))).drop("leads")
-        buckets, leaders = still_open(rest, comps), leaders * 2
+        buckets, leaders = still_open(rest, comps), leaders * 8
 
     of_rep = same.select("set_hi", "set_lo", "n_shingles", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", "n_shingles", F.coalesce("component", "rep").alias("rep_component"))
     out = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(of_rep, ["set_hi", "set_lo", "n_shingles"], "left")
@@ -201,12 +212,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _least(buckets: DataFrame, n: int) -> DataFrame:
-    """bucket, leads: its n members with the least doc_id, by partial aggregation."""
+def _first(buckets: DataFrame, n: int) -> DataFrame:
+    """bucket, leads: its first n members, by partial aggregation."""
+    place = F.struct("order", "doc_id", "size", "component")
     if n == 1:
-        return buckets.groupBy("bucket").agg(F.array(F.min(F.struct("doc_id", "component"))).alias("leads"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-    return buckets.withColumn("rank", rank).filter(F.col("rank") <= n).groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "component")).alias("leads"))
+        return buckets.groupBy("bucket").agg(F.array(F.min(place)).alias("leads"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "doc_id"))
+    return buckets.withColumn("rank", rank).filter(F.col("rank") <= n).groupBy("bucket").agg(F.collect_list(place).alias("leads"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
