@@ -167,12 +167,14 @@ def _repeated_bundles(keyed: DataFrame, maps, bits: int, length: int, gram: int)
     return keyed.select("base", "text").mapInArrow(run, "at long, n int, h1 long, h2 long, bytes binary")
 
 
-def _rank_pairs(firsts: DataFrame, length: int, maps=None, bits: int = 0) -> DataFrame:
-    """For every window of a bundle, the ranks of its first half and of the rest at that offset; those in the bit map, if there is one."""
+def _rank_pairs(rows: DataFrame, length: int, bits: int, firsts, seen=None) -> DataFrame:
+    """For every window of a bundle in the bit map `firsts`, the ranks of its first half and of the rest at that offset; those in the bit map `seen`, if there is one."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            begins = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(_within(firsts.value, (begins ^ (begins >> 19)).view(np.uint64), bits)))
             for first, last, data, offs in kernels.chunks(batch.column(2), 1 << 19):
                 count, begin = batch.column(1)[first:last].to_numpy(), batch.column(0)[first:last].to_numpy()
                 row = np.repeat(np.arange(last - first), count)
@@ -181,12 +183,12 @@ def _rank_pairs(firsts: DataFrame, length: int, maps=None, bits: int = 0) -> Dat
                 a = kernels.span_hash(kernels.prefix_hash(data), at, at + half)
                 b = kernels.span_hash(kernels.prefix_hash(data, 1), at + half, at + length, 1)
                 where = begin[row] + step
-                if maps is not None:
-                    keep = _within(maps.value, a ^ b, bits)
+                if seen is not None:
+                    keep = _within(seen.value, a ^ b, bits)
                     a, b, where = a[keep], b[keep], where[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(where), kernels.as_long(a), kernels.as_long(b)], ["at", "r1", "r2"])
 
-    return firsts.select("at", "n", "bytes").mapInArrow(run, "at long, r1 long, r2 long")
+    return rows.select("at", "n", "bytes").mapInArrow(run, "at long, r1 long, r2 long")
 
 
 def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -208,19 +210,20 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map
     narrow = some.select("at", "n", "h1", "h2")
     whole = narrow.join(_classes(narrow, ["h1", "h2"]), ["h1", "h2"]).filter("at > first").select("at", "n")
     whole = storage.materialize(whole, "later-bundles")
-    # a later one of equal bundles has nothing that the first hasn't
-    firsts = storage.materialize(some.filter(F.octet_length("bytes") > 0).select("at", "n", "bytes").join(whole.select("at"), "at", "left_anti"), "first-bundles")
-    storage.discard(some)
     storage.free_shuffles(spark)
-    classes = storage.materialize(_classes(_rank_pairs(firsts, length), ["r1", "r2"]), "window-classes")
+    # a later one of equal bundles has nothing that the first hasn't; a bit map of the firsts lets few others pass, which do no harm
+    ambiguous = some.filter(F.octet_length("bytes") > 0).select("at", "n", "bytes")
+    alone = ambiguous.select("at").join(whole.select("at"), "at", "left_anti")
+    firsts = spark.sparkContext.broadcast(_bit_maps(alone.select(F.col("at").bitwiseXOR(F.shiftright("at", 19)).alias("m"), F.lit(False).alias("differ")), map_bits)[0])
+    classes = storage.materialize(_classes(_rank_pairs(ambiguous, length, map_bits, firsts), ["r1", "r2"]), "window-classes")
     storage.free_shuffles(spark)
     either = classes.select(F.col("r1").bitwiseXOR(F.col("r2")).alias("m"), F.lit(False).alias("differ"))
     seen = spark.sparkContext.broadcast(_bit_maps(either, map_bits)[0])
-    single = _rank_pairs(firsts, length, seen, map_bits).join(classes, ["r1", "r2"]).filter("at > first").select("at", F.lit(1).alias("n"))
+    single = _rank_pairs(ambiguous, length, map_bits, firsts, seen).join(classes, ["r1", "r2"]).filter("at > first").select("at", F.lit(1).alias("n"))
     start = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
     spans = whole.union(single).select(F.col("at").bitwiseAND(F.lit(-(1 << PLACE_BITS))).alias("base"), F.struct(start.alias("start"), (start + F.col("n") + (length - 1)).alias("end")).alias("span"))
     out = storage.materialize(spans.groupBy("base").agg(F.collect_list("span").alias("spans")), "spans")  # bounded by a document's length
-    for table in (whole, firsts, classes):
+    for table in (whole, some, classes):
         storage.discard(table)
     storage.free_shuffles(spark)
     return out
