@@ -179,3 +179,63 @@ def test_near_passages(spark):
     assert whole.like_doc_id == 0 and whole.start_word <= 150 + 1 and whole.end_word >= 150 + 79 and whole.like_start_word == whole.start_word
     assert compact_windows.near_passages(table(spark, texts[:1])).count() == 0
     assert compact_windows.near_passages(table(spark, ["x"]).limit(0)).count() == 0
+
+
+def edited_passages(n, seed=31, least=60, most=90):
+    """n passages of distinct words, each with a copy that has words put in, left out and changed."""
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        base = words(r.random(), r.randrange(least, most), 100_000)
+        copy = list(base)
+        for _ in range(r.randrange(1, 4)):
+            p, kind = r.randrange(len(copy)), r.randrange(4)
+            copy[p : p + (kind != 1)] = {0: ["changed"], 1: ["new"], 2: [], 3: words(r.random(), 4, 100_000)}[kind]
+        out.append((base, copy))
+    return out
+
+
+def hashes_of(some):
+    import numpy as np
+
+    from attestine.llm import kernels
+
+    data = np.frombuffer(" ".join(some).encode(), np.uint8)
+    return kernels.shingle_hashes(*kernels.word_hashes(data, np.array([0, len(data)])), 5)[0]
+
+
+def brute_match(a, b, least, similar):
+    """Whether any stretches of a and b have the similarity; shingles of each differ."""
+    import numpy as np
+
+    shared = np.zeros((len(a) + 1, len(b) + 1), int)
+    shared[1:, 1:] = (a[:, None] == b[None, :]).cumsum(0).cumsum(1)
+    at = np.arange(len(b) + 1)
+    size = at[None, :] - at[:, None]
+    for i in range(len(a) - least + 1):
+        for j in range(i + least, len(a) + 1):
+            both = (shared[j] - shared[i])[None, :] - (shared[j] - shared[i])[:, None]
+            if ((size >= least) & (both >= similar * (j - i + size - both) - 1e-9)).any():
+                return True
+    return False
+
+
+def test_matched_stretch_against_brute_force():
+    import numpy as np
+
+    found = 0
+    for k, (base, copy) in enumerate(edited_passages(40)):
+        copy = copy[30:] + copy[:30] if k % 8 == 0 else copy
+        a, b = hashes_of(words(k + 200, 9, 90_000) + base + words(k + 300, 6, 90_000)), hashes_of(words(k + 400, 4, 90_000) + copy + words(k + 500, 9, 90_000))
+        hits = [compact_windows.matched_stretch(a, b, i, int(j), 46, 0.8) for i in range(len(a)) for j in np.flatnonzero(b == a[i])]
+        hits = [h for h in hits if h]
+        assert bool(hits) == brute_match(a, b, 46, 0.8)
+        assert all(min(h[1] - h[0], h[3] - h[2]) >= 46 and compact_windows.likeness(a[h[0] : h[1]], b[h[2] : h[3]]) >= 0.8 for h in hits)
+        found += bool(hits)
+    assert 10 < found < 40
+
+
+def test_near_passages_with_a_word_put_in(spark):
+    passage = words(22, 60, 10_000)
+    texts = [" ".join(words(1, 40, 10_000) + passage + words(2, 40, 10_000)), " ".join(words(3, 50, 10_000) + passage[:30] + ["extra"] + passage[30:] + words(4, 30, 10_000))]
+    (row,) = compact_windows.near_passages(table(spark, texts)).collect()
+    assert (row.doc_id, row.like_doc_id) == (1, 0) and row.end_word - row.start_word >= 60 and row.similarity >= 0.8
