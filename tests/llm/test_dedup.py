@@ -239,3 +239,12 @@ def test_near_passages_with_a_word_put_in(spark):
     texts = [" ".join(words(1, 40, 10_000) + passage + words(2, 40, 10_000)), " ".join(words(3, 50, 10_000) + passage[:30] + ["extra"] + passage[30:] + words(4, 30, 10_000))]
     (row,) = compact_windows.near_passages(table(spark, texts)).collect()
     assert (row.doc_id, row.like_doc_id) == (1, 0) and row.end_word - row.start_word >= 60 and row.similarity >= 0.8
+
+
+def test_near_passages_keep_links_within_other_matches(spark):
+    """C is like A as a whole; 50 words in the midst, where A differs, are B's."""
+    c = words(41, 200, 100_000)
+    a = [f"other{k}" if k in (85, 96, 107, 118) else w for k, w in enumerate(c)]
+    b = words(43, 40, 100_000) + c[80:130] + words(44, 40, 100_000)
+    rows = compact_windows.near_passages(table(spark, [" ".join(x) for x in (a, b, c)])).collect()
+    assert {(r.doc_id, r.like_doc_id) for r in rows} == {(2, 0), (2, 1)}
