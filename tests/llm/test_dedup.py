@@ -248,3 +248,24 @@ def test_near_passages_keep_links_within_other_matches(spark):
     b = words(43, 40, 100_000) + c[80:130] + words(44, 40, 100_000)
     rows = compact_windows.near_passages(table(spark, [" ".join(x) for x in (a, b, c)])).collect()
     assert {(r.doc_id, r.like_doc_id) for r in rows} == {(2, 0), (2, 1)}
+
+
+def test_near_passages_meet():
+    """Passages that brute force finds similar share a key that verification takes for a seed."""
+    import numpy as np
+
+    alike = met = 0
+    for k, (base, copy) in enumerate(edited_passages(400, seed=7, least=50, most=60)):
+        texts = [words(k + 1000, 9, 90_000) + base, copy + words(k + 2000, 9, 90_000)]
+        a, b = (hashes_of(t) for t in texts)
+        if not brute_match(a, b, 46, 0.8):
+            continue
+        alike += 1
+        raw = [" ".join(t).encode() for t in texts]
+        key, doc, place = compact_windows._keys(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5, 46)
+        places = [{}, {}]
+        for m, d, p in zip(key.tolist(), doc.tolist(), place.tolist(), strict=True):
+            places[d].setdefault(m, set()).add(p)
+        seeds = {(i, j) for m in places[0].keys() & places[1].keys() for i in places[0][m] for j in places[1][m]}
+        met += any(compact_windows.matched_stretch(a, b, i, j, 46, 0.8) is not None for i, j in seeds)
+    assert alike > 100 and met == alike
