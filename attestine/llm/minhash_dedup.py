@@ -12,8 +12,8 @@ leave the bucket once everyone has met them, and the number of leaders doubles.
 members are in one component or have met each other, so no link is lost to a cap; a bucket of copies needs one round.
 
 Defined cases: null or empty text, or one without words, has an empty set, is linked with nothing and is its own
-component; with fewer words than a shingle the whole sequence is the one shingle; a null doc_id is an error; rows
-with one doc_id are one component; extra columns pass through `deduplicate`; an empty table gives no rows.
+component; with fewer words than a shingle the whole sequence is the one shingle; a row with a null doc_id is a
+document of its own, linked with nothing, and stays; rows with one doc_id are one component; extra columns pass through `deduplicate`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     """doc_id, n_shingles, component_id, kept for every document: components of links with Jaccard >= percent / 100."""
     sets = storage.materialize(shingle_sets(docs, width, bands, rows), "shingle-sets")
     # equal sets: linked, and the same to all others
-    same = sets.filter("n_shingles > 0").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    same = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     same = storage.materialize(same, "equal-sets")
     reps = sets.join(same.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo", "n_shingles"), ["doc_id", "set_hi", "set_lo", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set_hi", "set_lo"])
     reps = reps.select("doc_id", "n_shingles", "sketch", "bands")
@@ -208,8 +208,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
 
     of_rep = same.select("set_hi", "set_lo", "n_shingles", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", "n_shingles", F.coalesce("component", "rep").alias("rep_component"))
     out = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(of_rep, ["set_hi", "set_lo", "n_shingles"], "left")
-    component = F.coalesce("rep_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep_component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _first(buckets: DataFrame, n: int) -> DataFrame:
@@ -222,9 +222,9 @@ def _first(buckets: DataFrame, n: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one document, the smallest doc_id, of each component."""
+    """The rows of docs that stay: one document, the smallest doc_id, of each component, and rows without a doc_id."""
     kept = near_groups(docs, width, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -269,3 +269,13 @@ def test_near_passages_meet():
         seeds = {(i, j) for m in places[0].keys() & places[1].keys() for i in places[0][m] for j in places[1][m]}
         met += any(compact_windows.matched_stretch(a, b, i, j, 46, 0.8) is not None for i, j in seeds)
     assert alike > 100 and met == alike
+
+
+def test_near_dedup_keeps_rows_without_doc_id(spark):
+    texts = [(None, "x y z w v u"), (None, "x y z w v u"), (None, None), (None, "q r s t u v w"), (1, "x y z w v u"), (2, "x y z w v u")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = minhash_dedup.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, texts[:5]))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in minhash_dedup.near_groups(docs).collect())
+    assert got == [(False, 1, 1, True), (False, 2, 1, False)] + [(True, 0, None, True)] * 4
