@@ -1,40 +1,49 @@
 """Near-duplicate groups by MinHash bands, odd sketches and exact verification.
 
-Each document's set of word shingles gets `bands * rows` MinHash samples. Bands of `rows` samples retrieve
-candidates; the samples folded into a parity bitmap (an odd sketch) estimate the similarity of a candidate pair
-from the population count of the XOR, precisely where similarity is high, and pairs far below the threshold go;
-the rest is confirmed on full shingle sets. With 32 bands of 4, a pair at 0.8 is missed with probability
-(1 - 0.8^4)^32 < 1e-7; the sketch's slack is over seven standard deviations.
+Each document's set of word shingles gets `bands * rows` MinHash samples. Bands of `rows` samples retrieve candidates;
+the samples folded into a parity bitmap (an odd sketch) estimate the similarity of a candidate pair from the population
+count of the XOR, precisely where similarity is high, and pairs far below the threshold go; the rest is confirmed on
+full shingle sets. With 36 bands of 5, a pair at 0.8 is missed with probability (1 - 0.8^5)^36 < 1e-6; the sketch's
+slack is over six standard deviations.
 
-No bucket is ever expanded into all pairs. Equal sets are one representative from the start. Then, in rounds, every
-bucket pairs its members with a few leaders only, leaving out pairs already known to be in one component; leaders
-leave the bucket once everyone has met them, and the number of leaders doubles. Rounds go on until every bucket's
-members are in one component or have met each other, so no link is lost to a cap; a bucket of copies needs one round.
+No bucket is ever expanded into all pairs. Equal sets are one representative from the start. Then
+
+1. every bucket has a hub, the member that shares most buckets with others, and each member meets the hubs of its
+   buckets only: once for each hub, however many buckets they share. What links there is confirmed on the texts;
+2. with a hub h, |x xor y| = |(x xor h) xor (y xor h)|: members of one hub are compared by what differs from the hub,
+   a few dozen shingles for an edited copy. Members that are linked with the hub are in one component and need no
+   comparison; the rest (a copy with so many edits that it is only like some other copies) meets the hub's other
+   members in blocks of up to BLOCK members and BLOCK_SHINGLES shingles, by classes of sizes that can reach the
+   threshold. A block gives out links only, one for a member and a component at most.
+
+So every two members of a bucket are in one component or have been compared, and no link is lost to a cap. The rows
+made are those of (hub, member) and, for members not linked with their hub, one for each block of its group.
 
 Defined cases: null or empty text, or one without words, has an empty set, is linked with nothing and is its own
 component; with fewer words than a shingle the whole sequence is the one shingle; a row with a null doc_id is a
-document of its own, linked with nothing, and stays; rows with one doc_id are one component; extra columns pass through `deduplicate`; an empty table gives no rows.
+document of its own, linked with nothing, and stays; rows with one doc_id are one component, whatever their texts, so
+that they stay or go together; ties and repeated rows change nothing, as sets and smallest ids decide; extra columns
+pass through `deduplicate`, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from attestine.llm import kernels, storage
 from attestine.llm.components import connected_components
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 36, 5
 SKETCH_BITS = 1024
 SKETCH_SLACK = 0.3
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 SETS = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch binary, bands array<long>"
 
 
@@ -110,117 +119,210 @@ def odd_sketch_similarity(a: np.ndarray, b: np.ndarray, samples: int) -> np.ndar
 
 
 def _close(pairs: DataFrame, sketches: DataFrame, samples: int, floor: float) -> DataFrame:
-    """The pairs (a, b) whose odd sketches estimate a similarity of at least floor."""
-    both = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
+    """pairs (hub, doc_id, ...) with `close`, whether their odd sketches estimate a similarity of at least floor, and the member's sketch."""
+    of_hub = sketches.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("hub_sketch"))
+    both = pairs.join(sketches.select("doc_id", "sketch"), "doc_id").join(of_hub, "hub").select("hub", "doc_id", "others", "sketch", "hub_sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(odd_sketch_similarity(a, b, samples) >= floor))
+                a, b = (_bitmaps(batch.column(k)) for k in (3, 4))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(odd_sketch_similarity(a, b, samples) >= floor)], ["hub", "doc_id", "others", "sketch", "close"])
+
+    return both.mapInArrow(run, "hub long, doc_id long, others long, sketch binary, close boolean")
+
+
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
+def _reaches(a: np.ndarray, b: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """100 * |intersection| >= percent * |union| of sets of sizes a and b, `apart` the size of their symmetric difference."""
+    return 100 * (a + b - apart) >= percent * (a + b + apart)
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs with 100 * |intersection| >= percent * |union| on their full shingle sets."""
+
+MET = "hub long, doc_id long, size long, hub_size long, linked boolean, sketch binary, residue array<long>"
+
+
+def _meet(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """pairs (hub, doc_id, ...) with the sizes, whether they are linked by their full shingle sets and the shingles that only one of them has."""
     text = docs.select("doc_id", "text")
-    both = pairs.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = pairs.join(text, "doc_id").join(text.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub").select("hub", "doc_id", "others", "sketch", "text", "hub_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for (_, _, da, oa), (_, _, db, ob) in zip(_aligned(batch, 2), _aligned(batch, 3), strict=True):
+            at = 0
+            for (da, oa), (db, ob) in zip(_aligned(batch, 4), _aligned(batch, 5), strict=True):
+                rows = len(oa) - 1
                 ha, ba = distinct_shingles(da, oa, width)
                 hb, bb = distinct_shingles(db, ob, width)
-                pair = np.concatenate([np.repeat(np.arange(len(x) - 1), np.diff(x)) for x in (ba, bb)])
+                pair = np.concatenate([np.repeat(np.arange(rows), np.diff(x)) for x in (ba, bb)])
                 every = np.concatenate([ha, hb])
                 order = np.lexsort((every, pair))
                 every, pair = every[order], pair[order]
-                twice = (every[1:] == every[:-1]) & (pair[1:] == pair[:-1])
-                shared = np.bincount(pair[1:][twice], minlength=len(ba) - 1)
-                ok.append(100 * shared >= percent * (np.diff(ba) + np.diff(bb) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, bool)))
+                twice = np.zeros(len(every) + 1, bool)
+                twice[1:-1] = (every[1:] == every[:-1]) & (pair[1:] == pair[:-1])
+                only = ~(twice[1:] | twice[:-1])
+                apart = np.bincount(pair[only], minlength=rows)
+                size, hub_size = np.diff(ba), np.diff(bb)
+                linked = _reaches(size, hub_size, apart, percent)
+                # a hub's only member has no one else to meet
+                alone = batch.column(2)[at : at + rows].to_numpy() < 2
+                keep = only & ~alone[pair]
+                ends = np.zeros(rows + 1, np.int32)
+                np.cumsum(np.bincount(pair[keep], minlength=rows), out=ends[1:])
+                residue = pa.ListArray.from_arrays(pa.array(ends), kernels.as_long(every[keep]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at : at + rows], batch.column(1)[at : at + rows], pa.array(size, pa.int64()), pa.array(hub_size, pa.int64()), pa.array(linked), batch.column(3)[at : at + rows], residue],
+                    ["hub", "doc_id", "size", "hub_size", "linked", "sketch", "residue"],
+                )
+                at += rows
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, MET)
 
 
 def _aligned(batch: pa.RecordBatch, column: int, rows: int = 256):
     for at in range(0, batch.num_rows, rows):
         data, offs = kernels.utf8(batch.column(column)[at : at + rows])
-        yield 0, 0, data[offs[0] : offs[-1]], offs - offs[0]
+        yield data[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), n)
+
+
+def shared_counts(x: np.ndarray, of_x: np.ndarray, n_x: int, y: np.ndarray, of_y: np.ndarray, n_y: int, columns: int = 4096) -> np.ndarray:
+    """Matrix of the numbers of values that sets of x and of y share."""
+    values = np.intersect1d(x, y)
+    out = np.zeros((n_x, n_y), np.float64)
+    places = []
+    for v, of in ((x, of_x), (y, of_y)):
+        at = np.searchsorted(values, v)
+        ok = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == v) if len(values) else np.zeros(len(v), bool)
+        order = np.argsort(at[ok], kind="stable")
+        places.append((at[ok][order], of[ok][order]))
+    for first in range(0, len(values), columns):
+        both = []
+        for (at, of), n in zip(places, (n_x, n_y), strict=True):
+            lo, hi = np.searchsorted(at, [first, first + columns])
+            dense = np.zeros((n, columns), np.float32)
+            dense[of[lo:hi], at[lo:hi] - first] = 1
+            both.append(dense)
+        out += both[0] @ both[1].T
+    return out
+
+
+def _compare(percent: int, samples: int, floor: float):
+    """Of one block, links (a, b) between its rows that look for partners and those of other components, by sketches first."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        seeks = block["seeks"].to_numpy(zero_copy_only=False).astype(bool)
+        sides = [block.filter(pa.array(m)).combine_chunks() for m in (seeks, ~seeks)]
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not all(side.num_rows for side in sides):
+            return none
+        bits = [_bitmaps(side["sketch"]).view(np.uint64) for side in sides]
+        limit = (1 - np.exp((floor - 1) * 4 * samples / (bits[0].shape[1] * 64))) / 2 * (bits[0].shape[1] * 64)
+        odd = np.zeros((len(bits[0]), len(bits[1])), np.int64)
+        for k in range(bits[0].shape[1]):
+            odd += np.bitwise_count(bits[0][:, k, None] ^ bits[1][None, :, k])
+        own, other = (side["component"].to_numpy() for side in sides)
+        maybe = (odd <= limit) & (own[:, None] != other[None, :])
+        rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        if not len(rows):
+            return none
+        x, y = sides[0].take(pa.array(rows)), sides[1].take(pa.array(columns))
+        (vx, of_x), (vy, of_y) = _lists(x["residue"]), _lists(y["residue"])
+        nx, ny = np.bincount(of_x, minlength=len(rows)), np.bincount(of_y, minlength=len(columns))
+        apart = nx[:, None] + ny[None, :] - 2 * shared_counts(vx, of_x, len(rows), vy, of_y, len(columns)).astype(np.int64)
+        ok = maybe[np.ix_(rows, columns)] & _reaches(x["size"].to_numpy()[:, None], y["size"].to_numpy()[None, :], apart, percent)
+        i, k = np.nonzero(ok)
+        _, one = np.unique(np.stack([i, other[columns][k]], axis=1), axis=0, return_index=True)  # a second link to a component says nothing new
+        ids_x, ids_y = x["doc_id"].to_numpy(), y["doc_id"].to_numpy()
+        return pa.table({"a": pa.array(ids_x[i[one]]), "b": pa.array(ids_y[k[one]])})
+
+    return run
+
+
+def _hub_pairs(reps: DataFrame, percent: int) -> DataFrame:
+    """hub, doc_id for each document and the hubs of its buckets, others: how many the hub has."""
+    members = reps.select(F.explode("bands").alias("bucket"), "doc_id")
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = storage.materialize(members.join(several, "bucket"), "buckets")
+    # who shares most buckets with others is nearest to most of them, as an original is to its copies
+    order = sized.groupBy("doc_id").agg((-F.sum("n")).alias("order"))
+    placed = storage.materialize(sized.drop("n").join(order, "doc_id"), "buckets")
+    hubs = placed.groupBy("bucket").agg(F.min(F.struct("order", "doc_id"))["doc_id"].alias("hub"))
+    met = placed.join(hubs, "bucket").filter("doc_id <> hub").select("hub", "doc_id").distinct()
+    met = storage.materialize(met, "hub-pairs")
+    return met.join(met.groupBy("hub").agg(F.count(F.lit(1)).alias("others")), "hub")
+
+
+def _block_links(met: DataFrame, comps: DataFrame, percent: int, samples: int, floor: float) -> DataFrame:
+    """Links between members of one hub that are in different components."""
+    component = comps.withColumnRenamed("node", "doc_id")
+    of_hub = comps.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    named = met.join(component, "doc_id", "left").join(of_hub, "hub", "left")
+    named = named.withColumn("component", F.coalesce("component", "doc_id")).withColumn("hub_component", F.coalesce("hub_component", "hub"))
+    mixed = named.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("hub")
+    # sets whose sizes differ by a class or more apart than one can't reach the threshold
+    size_class = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    rows = named.join(mixed, "hub", "left_semi").select("hub", "doc_id", "size", "sketch", "residue", "component", (F.col("component") != F.col("hub_component")).alias("seeks"), size_class.alias("class"))
+    rows = storage.materialize(rows, "open-members")
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    shingles = F.size("residue")
+    counts = rows.groupBy("hub", "class").agg(
+        blocks(F.count(F.lit(1)), F.sum(shingles)).alias("all_blocks"), blocks(F.count_if("seeks"), F.coalesce(F.sum(F.when(F.col("seeks"), shingles)), F.lit(0))).alias("seek_blocks"), F.count_if("seeks").alias("seekers")
+    )
+    near_classes = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    place = F.struct("hub", "of_class", "of_block", "with_class", "with_block")
+    rest = ["doc_id", "size", "sketch", "residue", "component", "seeks"]
+    own_all, own_seek = F.pmod(F.xxhash64("doc_id"), "all_blocks").cast("int"), F.pmod(F.xxhash64("doc_id"), "seek_blocks").cast("int")
+    mine = rows.join(counts, ["hub", "class"])
+    partner = counts.select("hub", F.col("class").alias("near"), F.col("all_blocks").alias("near_all"), F.col("seek_blocks").alias("near_seek"), F.col("seekers").alias("near_seekers"))
+    by_class = mine.withColumn("near", near_classes).join(partner, ["hub", "near"])
+    asks = by_class.filter("seeks").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("near_all") - 1)))
+    asks = asks.select("hub", F.col("class").alias("of_class"), own_seek.alias("of_block"), F.col("near").alias("with_class"), F.col("k").alias("with_block"), *rest)
+    meets = by_class.filter("near_seekers > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("near_seek") - 1)))
+    meets = meets.withColumn("seeks", F.lit(False)).select("hub", F.col("near").alias("of_class"), F.col("k").alias("of_block"), F.col("class").alias("with_class"), own_all.alias("with_block"), *rest)
+    dealt = asks.union(meets).select(place.alias("place"), *rest)
+    return dealt.groupBy("place").applyInArrow(_compare(percent, samples, floor), "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document: components of links with Jaccard >= percent / 100."""
+    samples, floor = bands * rows, percent / 100 - SKETCH_SLACK
     sets = storage.materialize(shingle_sets(docs, width, bands, rows), "shingle-sets")
     # equal sets: linked, and the same to all others
-    same = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    same = storage.materialize(same, "equal-sets")
-    reps = sets.join(same.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo", "n_shingles"), ["doc_id", "set_hi", "set_lo", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set_hi", "set_lo"])
+    key = ["set_hi", "set_lo", "n_shingles"]
+    some = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    same = storage.materialize(some.groupBy(*key).agg(F.min("doc_id").alias("rep")), "equal-sets")
+    reps = sets.join(same.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
     reps = reps.select("doc_id", "n_shingles", "sketch", "bands")
-    members = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").cast("int").alias("size"))
-    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = storage.materialize(members.join(several, "bucket"), "buckets")
-    # who shares most buckets with others is nearest to most of them, as an original is to its copies: it leads
-    lead_order = sized.groupBy("doc_id").agg((-F.sum("n")).alias("order"))
-    buckets = storage.materialize(sized.drop("n").join(lead_order, "doc_id").withColumn("component", F.col("doc_id")), "buckets")
-    sketches = reps.select("doc_id", "sketch").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
-    sketches = storage.materialize(sketches, "sketches")
-    seen: list[DataFrame] = []
-    found: list[DataFrame] = []
-
-    comps: DataFrame | None = None
-
-    def meet(met: DataFrame) -> DataFrame:
-        """Verify met (a, b and their sizes), leaving out pairs seen before; the components so far."""
-        alike = 100 * F.least("size", "lead_size") >= percent * F.greatest("size", "lead_size")  # else the similarity can't be reached
-        pairs = met.filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for before in seen:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        seen.append(storage.materialize(pairs, "pairs"))
-        close = storage.materialize(_close(seen[-1], sketches, bands * rows, percent / 100 - SKETCH_SLACK), "close")
-        new = storage.materialize(_verify(close, docs, width, percent), "found")
-        if comps is not None and new.isEmpty():
-            return comps
-        found.append(new)
-        return storage.materialize(connected_components(reduce(DataFrame.union, found)), "components")
-
-    def still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
-        """members with their components of now, without buckets that are in one component."""
-        named = members.drop("component").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        return storage.materialize(named.join(mixed, "bucket", "left_semi"), "buckets")
-
-    # at first each document meets one leader only, the first of its buckets' leaders
-    place = F.struct("order", "doc_id", "size", "component")
-    lead = buckets.groupBy("bucket").agg(F.min(place).alias("lead"))
-    first = buckets.join(lead, "bucket").groupBy(F.col("doc_id").alias("a"), "size").agg(F.min("lead").alias("lead"))
-    comps = meet(first.select("a", F.col("lead.doc_id").alias("b"), "size", F.col("lead.size").alias("lead_size")).filter("a <> b"))
-    buckets, leaders = still_open(buckets, comps), 1
-    while not buckets.isEmpty():
-        lead = _first(buckets, leaders)
-        met = buckets.join(lead, "bucket").withColumn("lead", F.explode("leads")).filter(F.col("lead.component") != F.col("component"))
-        comps = meet(met.select(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b"), "size", F.col("lead.size").alias("lead_size")))
-        # leaders have met everyone of their bucket
-        rest = buckets.join(lead, "bucket").filter(~F.exists("leads", lambda x: x["doc_id"] == F.col("doc_id"))).drop("leads")
-        buckets, leaders = still_open(rest, comps), leaders * 8
-
-    of_rep = same.select("set_hi", "set_lo", "n_shingles", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", "n_shingles", F.coalesce("component", "rep").alias("rep_component"))
-    out = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(of_rep, ["set_hi", "set_lo", "n_shingles"], "left")
+    pairs = _hub_pairs(reps, percent)
+    sketches = reps.select("doc_id", "sketch")
+    judged = storage.materialize(_close(pairs, sketches, samples, floor).filter("close OR others > 1"), "judged")
+    named = docs.select("doc_id", "text")
+    met = storage.materialize(_meet(judged, named, width, percent), "met")
+    # rows of one doc_id are one document, whatever their texts
+    several = some.groupBy("doc_id").agg(F.min(F.xxhash64(*key)).alias("lo"), F.max(F.xxhash64(*key)).alias("hi")).filter("lo < hi").select("doc_id")
+    doubled = some.join(several, "doc_id", "left_semi").join(same, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = storage.materialize(met.filter("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(doubled), "links")
+    comps = storage.materialize(connected_components(links), "components")
+    more = storage.materialize(_block_links(met, comps, percent, samples, floor), "links")
+    if not more.isEmpty():
+        comps = storage.materialize(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+
+    of_rep = same.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("rep_component"))
+    out = sets.select("doc_id", *key).join(of_rep, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _first(buckets: DataFrame, n: int) -> DataFrame:
-    """bucket, leads: its first n members, by partial aggregation."""
-    place = F.struct("order", "doc_id", "size", "component")
-    if n == 1:
-        return buckets.groupBy("bucket").agg(F.array(F.min(place)).alias("leads"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "doc_id"))
-    return buckets.withColumn("rank", rank).filter(F.col("rank") <= n).groupBy("bucket").agg(F.collect_list(place).alias("leads"))
-
-
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one document, the smallest doc_id, of each component, and rows without a doc_id."""
     kept = near_groups(docs, width, percent).filter("kept").select("doc_id").distinct()

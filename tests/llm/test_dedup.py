@@ -87,6 +87,59 @@ def test_near_groups(spark, width):
     assert got == {k: (len(sets[k]), top(k), top(k) == k) for k in range(len(texts))}
 
 
+def components_of(sets, linked):
+    parent = {k: k for k in sets}
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if b < a and linked(sets[a], sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    return {k: top(k) for k in sets}
+
+
+def alike(a, b):
+    both = len(a & b)
+    return bool(a) and bool(b) and 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+def test_near_groups_of_copies_mostly_under_the_threshold(spark, monkeypatch):
+    """Copies of one text with up to 20 of 150 words changed: many are like some other copies only; blocks are small here."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    base, texts = words(50, 150, 60), []
+    for k in range(260):
+        r, w = random.Random(k), list(base)
+        for _ in range(k % 21):
+            w[r.randrange(len(w))] = f"w{r.randrange(60)}"
+        texts.append(" ".join(w))
+        if k % 20 > 14:  # another copy with one word changed
+            w[r.randrange(len(w))] = "again"
+            texts.append(" ".join(w))
+    sets = {k: shingles(t, 2) for k, t in enumerate(texts)}
+    want = components_of(sets, alike)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_groups(table(spark, texts), 2, 80).collect()}
+    assert got == want and 10 < len(set(want.values())) < 200
+
+
+def test_near_groups_of_one_doc_id_with_two_texts(spark):
+    one, two, three = (words(k, 60) for k in (61, 62, 63))
+    rows = [(5, one), (5, two), (9, one[:-1]), (8, two[1:]), (7, three), (7, three), (6, three[1:])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_groups(docs, 2, 80).collect())
+    assert got == [(5, 5, True), (5, 5, True), (6, 6, True), (7, 6, False), (7, 6, False), (8, 5, False), (9, 5, False)]
+
+
+def test_near_dedup_passes_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "x y z w v u", 1, "a", 2, "c", 3) for k in range(3)], "doc_id long, text string, hub long, component string, size long, residue string, sketch long")
+    out = minhash_dedup.deduplicate(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(0, "x y z w v u", 1, "a", 2, "c", 3)]
+
+
 def test_near_dedup_keeps_columns_and_empty_tables(spark):
     docs = table(spark, ["x y z w v u"] * 3 + [None, None])
     out = minhash_dedup.deduplicate(docs)
