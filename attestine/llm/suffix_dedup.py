@@ -16,16 +16,21 @@ a bundle. Equal windows have equal minimizers at the same place. So
 3. only of the first of each class of equal bundles, and only where another, different bundle has its minimizer, are
    the positions ranked one by one, in rank pairs.
 
+Runs of one byte and short periods would make a bundle of every window or two; there, a window that the same text holds
+earlier is removed at once, and only the first of each remains.
+
 Groups are never gathered: classes are found by partial aggregation, and their members by a join that Spark may split
 where it is skewed. Bit maps of a fixed size, made from the counts of step 1, spare later steps most bundles with
 unique minimizers; where the maps are full they merely spare less.
 
-A position is one number, its document's place in the order of documents and its place there; doc_ids serve as the
-document's place where they are distinct and from 0 to 2^35, else documents are numbered first.
+A position is one number: a document's place in the order of documents, times 2^28, and the place within the document.
+doc_ids serve as the document's place where they are distinct and from 0 to 2^35 and no text has 2^28 bytes; else
+documents are numbered first, each taking as many numbers as its length needs. Texts are worked on in pieces of a few
+megabytes that overlap in length - 1 bytes.
 
 Defined cases: null text is empty; texts shorter than `length` lose nothing; rows with the same doc_id come in the order
-of their texts, so that of repeated rows the later ones are removed; a null doc_id comes first; a text of 2^28 bytes
-or more is an error; extra columns are ignored; an empty table gives no rows.
+of their texts, so that of repeated rows the later ones are removed; a null doc_id comes first; extra columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,9 +48,10 @@ from pyspark.sql import functions as F
 from attestine.llm import kernels, storage
 
 LENGTH = 100
-GRAM = 24
+GRAM = 50
 MAP_BITS = 27
 PLACE_BITS = 28  # of a position within its document
+DENSE, DENSE_RUN = 8, 16  # this many bundles in a row of so few windows: a short period
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -57,11 +63,22 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
+def pieces(column: pa.Array | pa.ChunkedArray, length: int, most: int = kernels.CHUNK_BYTES):
+    """rows, where each begins in its text, bytes, offsets: whole texts of about `most` bytes together, longer ones in pieces that overlap in length - 1 bytes."""
+    for first, last, data, offs in kernels.chunks(column, most):
+        if last == first + 1 and len(data) > 2 * most:
+            for begin in range(0, len(data) - length + 1, most):
+                part = data[begin : begin + most + length - 1]
+                yield np.array([first]), np.array([begin]), part, np.array([0, len(part)])
+        else:
+            yield np.arange(first, last), np.zeros(last - first, np.int64), data, offs
+
+
 def bundles(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """doc, first window, number of windows, minimizer's hash, prefix hashes; windows are positions in data."""
+    """doc, first window, number of windows, minimizer's hash of each bundle, windows that repeat within a dense stretch, prefix hashes; windows are positions in data."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.view(np.uint64), np.zeros(1, np.uint64)
+        return none, none, none, none.view(np.uint64), none, np.zeros(1, np.uint64)
     prefix = kernels.prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     hashes = kernels.span_hash(prefix, at, at + gram)
@@ -73,41 +90,83 @@ def bundles(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     doc = np.repeat(np.arange(len(size)), wins)
     begin = np.cumsum(wins) - wins
     window = offs[doc] + (np.arange(len(doc)) - begin[doc])
-    chosen = least[window]
-    new = np.ones(len(doc), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(doc)))
-    return doc[first], window[first], count, hashes[chosen[first]], prefix
 
-
-def _based(docs: DataFrame) -> DataFrame:
+    def bundled(doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chosen = least[window]
+        new = np.ones(len(doc), bool)
+        new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1]) | (window[1:] != window[:-1] + 1)
+        first = np.flatnonzero(new)
+        return first, np.diff(np.append(first, len(doc)))
+
+    first, count = bundled(doc, window)
+    again = _dense_repeats(doc, window, first, count, prefix, length)
+    if len(again):
+        keep = np.ones(len(window), bool)
+        keep[again] = False
+        repeats = window[again]
+        doc, window = doc[keep], window[keep]
+        first, count = bundled(doc, window)
+    else:
+        repeats = none
+    return doc[first], window[first], count, hashes[least[window[first]]], repeats, prefix
+
+
+def _dense_repeats(doc: np.ndarray, window: np.ndarray, first: np.ndarray, count: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
+    """Indices of windows in stretches of small bundles that the same text has earlier in such a stretch."""
+    small = np.concatenate([[False], count <= DENSE, [False]])
+    edge = np.flatnonzero(small[1:] != small[:-1]).reshape(-1, 2)
+    edge = edge[edge[:, 1] - edge[:, 0] >= DENSE_RUN]
+    if not len(edge):
+        return np.zeros(0, np.int64)
+    ends = np.append(first, len(doc))
+    at = np.concatenate([np.arange(ends[x], ends[y]) for x, y in edge])
+    start = window[at]
+    # `prefix` alone would do but for clashes; the second hash is of other bytes of the window
+    one = kernels.span_hash(prefix, start, start + length)
+    two = kernels.span_hash(prefix, start + length // 3, start + length)
+    order = np.lexsort((at, two, one, doc[at]))
+    d, o, t = doc[at][order], one[order], two[order]
+    return at[order[1:][(d[1:] == d[:-1]) & (o[1:] == o[:-1]) & (t[1:] == t[:-1])]]
+
+
+def _based(docs: DataFrame, place_bits: int) -> DataFrame:
     """doc_id, text and base, the position of a document's first byte: distinct, in the order of documents."""
     spark = docs.sparkSession
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows, ids, low, high = plain.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    if rows == ids and (rows == 0 or (low >= 0 and high < 1 << (63 - PLACE_BITS))):
-        return plain.withColumn("base", F.call_function("shiftleft", F.col("doc_id").cast("long"), F.lit(PLACE_BITS)))
-    # numbers rise with the partition and within it; as many rows as partitions are needed to close the gaps
-    numbered = storage.materialize(plain.orderBy(F.asc_nulls_first("doc_id"), "text").withColumn("id", F.monotonically_increasing_id()), "numbered")
-    counts = sorted((r["part"], r["n"]) for r in numbered.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    rows, ids, low, high, most = plain.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+    if rows == ids and (rows == 0 or (low >= 0 and high < 1 << (63 - place_bits) and most < 1 << place_bits)):
+        return plain.withColumn("base", F.call_function("shiftleft", F.col("doc_id").cast("long"), F.lit(place_bits)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a document takes as many numbers as its length needs; numbers rise within the partition
+        number = 0
+        for batch in batches:
+            takes = (batch.column(2).to_numpy().astype(np.int64) >> place_bits) + 1
+            ends = number + np.cumsum(takes)
+            number = int(ends[-1]) if len(ends) else number
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - takes), pa.array(ends), batch.column(3)], ["doc_id", "text", "number", "next", "part"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ordered = plain.orderBy(F.asc_nulls_first("doc_id"), "text").select("doc_id", "text", F.octet_length("text").cast("long").alias("bytes"), F.spark_partition_id().cast("long").alias("part"))
+    numbered = storage.materialize(ordered.mapInArrow(run, f"doc_id {kind}, text string, number long, next long, part long"), "numbered")
+    # as many rows as partitions are needed to close the gaps
+    counts = sorted((r["part"], r["n"]) for r in numbered.groupBy("part").agg(F.max("next").alias("n")).collect())
     begin, total = [], 0
     for part, n in counts:
         begin.append((part, total))
         total += n
     begins = F.broadcast(spark.createDataFrame(begin, "part long, begin long"))
-    row = F.col("begin") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn("part", F.shiftright("id", 33)).join(begins, "part").select("doc_id", "text", F.call_function("shiftleft", row, F.lit(PLACE_BITS)).alias("base"))
+    return numbered.join(begins, "part").select("doc_id", "text", F.call_function("shiftleft", F.col("begin") + F.col("number"), F.lit(place_bits)).alias("base"))
 
 
-def _minimizer_counts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+def _minimizer_counts(keyed: DataFrame, length: int, gram: int, most: int) -> DataFrame:
     """minimizer with n > 1 and whether its bundles differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, _, data, offs in kernels.chunks(batch.column(0)):
-                _, start, count, least, prefix = bundles(data, offs, length, gram)
+            for _, _, data, offs in pieces(batch.column(0), length, most):
+                _, start, count, least, _, prefix = bundles(data, offs, length, gram)
                 found.append((least, kernels.span_hash(prefix, start, start + count + length - 1)))
             least, whole = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in (0, 1))
             order = np.argsort(least)
@@ -141,40 +200,71 @@ def _within(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _repeated_bundles(keyed: DataFrame, maps, bits: int, length: int, gram: int) -> DataFrame:
-    """Bundles whose minimizer may be repeated; with their bytes where bundles of this minimizer may differ."""
+def _runs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and number of consecutive windows."""
+    windows = np.sort(windows)
+    first = np.flatnonzero(np.append(True, windows[1:] != windows[:-1] + 1)) if len(windows) else np.zeros(0, np.int64)
+    return windows[first], np.diff(np.append(first, len(windows)))
+
+
+def _repeated_bundles(keyed: DataFrame, maps, bits: int, length: int, gram: int, most: int) -> DataFrame:
+    """Bundles whose minimizer may be repeated, with two hashes, and whether bundles of this minimizer may differ; known: windows that the same text has earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, differ = maps.value
         for batch in batches:
-            for first, last, data, offs in kernels.chunks(batch.column(1)):
-                if len(offs) > 1 and np.diff(offs).max() >> PLACE_BITS:
-                    raise ValueError(f"a text has 2^{PLACE_BITS} bytes or more")
-                doc, start, count, least, prefix = bundles(data, offs, length, gram)
+            bases = batch.column(0).to_numpy()
+            for rows, begin, data, offs in pieces(batch.column(1), length, most):
+                doc, start, count, least, repeats, prefix = bundles(data, offs, length, gram)
                 keep = np.flatnonzero(_within(some, least, bits))
                 doc, start, count, least = doc[keep], start[keep], count[keep], least[keep]
                 end = start + count + length - 1
                 one = kernels.span_hash(prefix, start, end)
                 two = kernels.span_hash(kernels.prefix_hash(data, 1), start, end, 1)
-                size = np.where(_within(differ, least, bits), end - start, 0)
+                first, again = _runs(repeats)
+                of = np.concatenate([doc, np.searchsorted(offs, first, "right") - 1]).astype(np.int64)
+                at = (bases[rows] + begin - offs[:-1])[of] + np.concatenate([start, first])
+                known = np.arange(len(at)) >= len(start)
+                none = np.zeros(len(first), np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at), pa.array(np.concatenate([count, again]).astype(np.int32)), kernels.as_long(np.concatenate([one, none])), kernels.as_long(np.concatenate([two, none])), pa.array(np.append(_within(differ, least, bits), np.zeros(len(first), bool))), pa.array(known)],
+                    ["at", "n", "h1", "h2", "differ", "known"],
+                )
+
+    return keyed.select("base", "text").mapInArrow(run, "at long, n int, h1 long, h2 long, differ boolean, known boolean")
+
+
+def _spread(at: np.ndarray) -> np.ndarray:
+    return (at ^ (at >> 19)).view(np.uint64)
+
+
+def _bundle_bytes(keyed: DataFrame, firsts, bits: int, length: int, gram: int, most: int) -> DataFrame:
+    """at, n, bytes of the bundles in the bit map `firsts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases = batch.column(0).to_numpy()
+            for rows, begin, data, offs in pieces(batch.column(1), length, most):
+                doc, start, count, _, _, _ = bundles(data, offs, length, gram)
+                at = (bases[rows] + begin - offs[:-1])[doc] + start
+                keep = np.flatnonzero(_within(firsts.value, _spread(at), bits))
+                start, count = start[keep], count[keep]
+                size = count + length - 1
                 offsets = np.zeros(len(size) + 1, np.int32)
                 np.cumsum(size, out=offsets[1:])
                 take = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
                 text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[take]))])
-                base = batch.column(0)[first:last].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(base[doc] + start - offs[doc]), pa.array(count.astype(np.int32)), kernels.as_long(one), kernels.as_long(two), text], ["at", "n", "h1", "h2", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[keep]), pa.array(count.astype(np.int32)), text], ["at", "n", "bytes"])
 
-    return keyed.select("base", "text").mapInArrow(run, "at long, n int, h1 long, h2 long, bytes binary")
+    return keyed.select("base", "text").mapInArrow(run, "at long, n int, bytes binary")
 
 
-def _rank_pairs(rows: DataFrame, length: int, bits: int, firsts, seen=None) -> DataFrame:
-    """For every window of a bundle in the bit map `firsts`, the ranks of its first half and of the rest at that offset; those in the bit map `seen`, if there is one."""
+def _rank_pairs(rows: DataFrame, length: int, bits: int, seen=None) -> DataFrame:
+    """For every window of the bundles, the ranks of its first half and of the rest at that offset; those in the bit map `seen`, if there is one."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begins = batch.column(0).to_numpy()
-            batch = batch.filter(pa.array(_within(firsts.value, (begins ^ (begins >> 19)).view(np.uint64), bits)))
             for first, last, data, offs in kernels.chunks(batch.column(2), 1 << 19):
                 count, begin = batch.column(1)[first:last].to_numpy(), batch.column(0)[first:last].to_numpy()
                 row = np.repeat(np.arange(last - first), count)
@@ -196,34 +286,42 @@ def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map_bits: int = MAP_BITS) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map_bits: int = MAP_BITS, place_bits: int = PLACE_BITS, most: int = kernels.CHUNK_BYTES) -> DataFrame:
     """base, spans: an array of (start, end) of covered bytes, not merged yet; documents without any don't appear. keyed: base, text."""
     if not 0 < gram <= length // 2:
         raise ValueError("gram must be from 1 to half the length")
     spark = keyed.sparkSession
-    minimizers = storage.materialize(_minimizer_counts(keyed, length, gram), "minimizers")
+    minimizers = storage.materialize(_minimizer_counts(keyed, length, gram, most), "minimizers")
     maps = spark.sparkContext.broadcast(_bit_maps(minimizers, map_bits))
     storage.discard(minimizers)
-    some = storage.materialize(_repeated_bundles(keyed, maps, map_bits, length, gram), "bundles")
+    some = storage.materialize(_repeated_bundles(keyed, maps, map_bits, length, gram, most), "bundles")
     maps.unpersist()
     storage.free_shuffles(spark)
-    narrow = some.select("at", "n", "h1", "h2")
-    whole = narrow.join(_classes(narrow, ["h1", "h2"]), ["h1", "h2"]).filter("at > first").select("at", "n")
-    whole = storage.materialize(whole, "later-bundles")
+    narrow = some.filter("NOT known").select("at", "n", "h1", "h2")
+    later = narrow.join(_classes(narrow, ["h1", "h2"]), ["h1", "h2"]).filter("at > first").select("at", "n")
+    whole = storage.materialize(later, "later-bundles")
     storage.free_shuffles(spark)
     # a later one of equal bundles has nothing that the first hasn't; a bit map of the firsts lets few others pass, which do no harm
-    ambiguous = some.filter(F.octet_length("bytes") > 0).select("at", "n", "bytes")
-    alone = ambiguous.select("at").join(whole.select("at"), "at", "left_anti")
+    alone = some.filter("differ").select("at").join(whole.select("at"), "at", "left_anti")
     firsts = spark.sparkContext.broadcast(_bit_maps(alone.select(F.col("at").bitwiseXOR(F.shiftright("at", 19)).alias("m"), F.lit(False).alias("differ")), map_bits)[0])
-    classes = storage.materialize(_classes(_rank_pairs(ambiguous, length, map_bits, firsts), ["r1", "r2"]), "window-classes")
+    ambiguous = storage.materialize(_bundle_bytes(keyed, firsts, map_bits, length, gram, most), "bundle-bytes")
+    firsts.unpersist()
+    storage.free_shuffles(spark)
+    classes = storage.materialize(_classes(_rank_pairs(ambiguous, length, map_bits), ["r1", "r2"]), "window-classes")
     storage.free_shuffles(spark)
     either = classes.select(F.col("r1").bitwiseXOR(F.col("r2")).alias("m"), F.lit(False).alias("differ"))
     seen = spark.sparkContext.broadcast(_bit_maps(either, map_bits)[0])
-    single = _rank_pairs(ambiguous, length, map_bits, firsts, seen).join(classes, ["r1", "r2"]).filter("at > first").select("at", F.lit(1).alias("n"))
-    start = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    spans = whole.union(single).select(F.col("at").bitwiseAND(F.lit(-(1 << PLACE_BITS))).alias("base"), F.struct(start.alias("start"), (start + F.col("n") + (length - 1)).alias("end")).alias("span"))
+    single = _rank_pairs(ambiguous, length, map_bits, seen).join(classes, ["r1", "r2"]).filter("at > first").select("at", F.lit(1).alias("n"))
+    known = some.filter("known").select("at", "n")
+    # of a text that takes several numbers, each has spans of its own
+    longer = keyed.select("base", F.shiftright(F.octet_length("text"), place_bits).alias("more")).filter("more > 0")
+    parts = longer.select("base", F.explode(F.sequence(F.lit(0), "more")).alias("k")).select("base", (F.col("base") + F.call_function("shiftleft", F.col("k").cast("long"), F.lit(place_bits))).alias("part"))
+    spans = whole.union(single).union(known).withColumn("part", F.col("at").bitwiseAND(F.lit(-(1 << place_bits)))).join(parts, "part", "left").withColumn("base", F.coalesce("base", "part"))
+    start = (F.col("at") - F.col("base")).cast("int")
+    spans = spans.select("base", F.struct(start.alias("start"), (start + F.col("n") + (length - 1)).alias("end")).alias("span"))
     out = storage.materialize(spans.groupBy("base").agg(F.collect_list("span").alias("spans")), "spans")  # bounded by a document's length
-    for table in (whole, some, classes):
+    seen.unpersist()
+    for table in (whole, some, classes, ambiguous):
         storage.discard(table)
     storage.free_shuffles(spark)
     return out
@@ -237,10 +335,10 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[last]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_text: bool = False, place_bits: int = PLACE_BITS, most: int = kernels.CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) for every row of docs."""
-    keyed = _based(docs)
-    spans = repeated_spans(keyed.select("base", "text"), length)
+    keyed = _based(docs, place_bits)
+    spans = repeated_spans(keyed.select("base", "text"), length, place_bits=place_bits, most=most)
     joined = keyed.join(spans, "base", "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 

@@ -198,6 +198,24 @@ def test_suffix_dedup(spark, shift):
     assert got == dict(enumerate(brute_repeats(texts, 100)))
 
 
+def test_suffix_dedup_long_texts_and_short_periods(spark):
+    """Texts in pieces of 1000 bytes, longer than a number's 2^10 places; runs of one byte and short periods."""
+    passage = " ".join(words(6, 60))
+    long = " ".join(words(7, 900))
+    texts = [f"{long} {passage}", "x" * 9000, "abc" * 2000, f"{passage} {long[2000:]} {long[:700]}", "y" + "x" * 300 + "abc" * 90, "lorem ipsum " * 300, None, " ".join(words(8, 300)) + "x" * 400, "-" * 99]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table(spark, texts), place_bits=10, most=1000).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 100)))
+
+
+def test_bundles_of_a_megabyte_of_one_byte():
+    import numpy as np
+
+    for unit, left in ((b"x", 1), (b"ab", 2)):
+        data = np.frombuffer(unit * (1_000_000 // len(unit)), np.uint8)
+        _, _, count, _, repeats, _ = suffix_dedup.bundles(data, np.array([0, len(data)]), 100, 50)
+        assert count.sum() == left and len(repeats) == len(data) - 99 - left
+
+
 def test_suffix_dedup_repeated_rows_and_empty(spark):
     text = " ".join(words(8, 50))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
