@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,16 +239,20 @@ def _spread(at: np.ndarray) -> np.ndarray:
     return (at ^ (at >> 19)).view(np.uint64)
 
 
-def _bundle_bytes(keyed: DataFrame, firsts, bits: int, length: int, gram: int, most: int) -> DataFrame:
-    """at, n, bytes of the bundles in the bit map `firsts`."""
+def _bundle_bytes(keyed: DataFrame, maps, bits: int, length: int, gram: int, place_bits: int, most: int) -> DataFrame:
+    """at, n, bytes of the bundles in the first bit map; the second holds the numbers of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, texts = maps.value
         for batch in batches:
             bases = batch.column(0).to_numpy()
+            some = _within(texts, (bases >> place_bits).view(np.uint64), bits) | (pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) >> place_bits > 0)
+            batch = batch.filter(pa.array(some))
+            bases = bases[some]
             for rows, begin, data, offs in pieces(batch.column(1), length, most):
                 doc, start, count, _, _, _ = bundles(data, offs, length, gram)
                 at = (bases[rows] + begin - offs[:-1])[doc] + start
-                keep = np.flatnonzero(_within(firsts.value, _spread(at), bits))
+                keep = np.flatnonzero(_within(firsts, _spread(at), bits))
                 start, count = start[keep], count[keep]
                 size = count + length - 1
                 offsets = np.zeros(len(size) + 1, np.int32)
@@ -303,8 +308,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map
     storage.free_shuffles(spark)
     # a later one of equal bundles has nothing that the first hasn't; a bit map of the firsts lets few others pass, which do no harm
     alone = some.filter("differ").select("at").join(whole.select("at"), "at", "left_anti")
-    firsts = spark.sparkContext.broadcast(_bit_maps(alone.select(F.col("at").bitwiseXOR(F.shiftright("at", 19)).alias("m"), F.lit(False).alias("differ")), map_bits)[0])
-    ambiguous = storage.materialize(_bundle_bytes(keyed, firsts, map_bits, length, gram, most), "bundle-bytes")
+    alone = storage.materialize(alone, "first-bundles")
+    marks = [F.col("at").bitwiseXOR(F.shiftright("at", 19)), F.shiftright("at", place_bits)]
+    firsts = spark.sparkContext.broadcast(tuple(_bit_maps(alone.select(m.alias("m"), F.lit(False).alias("differ")), map_bits)[0] for m in marks))
+    ambiguous = storage.materialize(_bundle_bytes(keyed, firsts, map_bits, length, gram, place_bits, most), "bundle-bytes")
     firsts.unpersist()
     storage.free_shuffles(spark)
     classes = storage.materialize(_classes(_rank_pairs(ambiguous, length, map_bits), ["r1", "r2"]), "window-classes")
@@ -321,7 +328,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map
     spans = spans.select("base", F.struct(start.alias("start"), (start + F.col("n") + (length - 1)).alias("end")).alias("span"))
     out = storage.materialize(spans.groupBy("base").agg(F.collect_list("span").alias("spans")), "spans")  # bounded by a document's length
     seen.unpersist()
-    for table in (whole, some, classes, ambiguous):
+    for table in (whole, some, alone, classes, ambiguous):
         storage.discard(table)
     storage.free_shuffles(spark)
     return out
