@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 START = 10  # what stands before a text's first byte: line ends
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
@@ -27,11 +27,11 @@ def worker_cache() -> types.ModuleType:
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit integers (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    shifted = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):
+        x ^= np.right_shift(x, np.uint64(shift), out=shifted)
+        if factor:
+            x *= np.uint64(factor)
     return x
 
 
@@ -67,6 +67,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def gram_hashes(prefix: np.ndarray, gram: int, which: int = 0) -> np.ndarray:
+    """span_hash of the `gram` bytes at each place."""
+    _, inverse, _ = _powers(len(prefix), which)
+    return mix((prefix[gram:] - prefix[:-gram]) * inverse[: len(prefix) - gram] + np.uint64(gram))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

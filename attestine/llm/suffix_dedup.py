@@ -51,6 +51,7 @@ from attestine.llm import kernels, storage
 LENGTH = 100
 GRAM = 50
 MAP_BITS = 27
+PIECE = 1 << 16  # bytes worked on at once: arrays that stay in the processor's cache
 PLACE_BITS = 28  # of a position within its document
 DENSE, DENSE_RUN = 8, 16  # this many bundles in a row of so few windows: a short period
 
@@ -64,7 +65,7 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, length: int, most: int = kernels.CHUNK_BYTES):
+def pieces(column: pa.Array | pa.ChunkedArray, length: int, most: int = PIECE):
     """rows, where each begins in its text, bytes, offsets: whole texts of about `most` bytes together, longer ones in pieces that overlap in length - 1 bytes."""
     for first, last, data, offs in kernels.chunks(column, most):
         if last == first + 1 and len(data) > 2 * most:
@@ -81,52 +82,51 @@ def bundles(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     if len(data) < length:
         return none, none, none, none.view(np.uint64), none, np.zeros(1, np.uint64)
     prefix = kernels.prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    hashes = kernels.span_hash(prefix, at, at + gram)
+    hashes = kernels.gram_hashes(prefix, gram)
     # the high half orders k-grams, positions break ties to the left
-    order = (hashes & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    order = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     least = (_sliding_least(order, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    size = np.diff(offs)
-    wins = np.maximum(size - length + 1, 0)
-    doc = np.repeat(np.arange(len(size)), wins)
-    begin = np.cumsum(wins) - wins
-    window = offs[doc] + (np.arange(len(doc)) - begin[doc])
+    # a window begins where its text goes on for `length` bytes
+    whole = np.ones(len(least), bool)
+    for end in offs[1:-1]:
+        whole[max(end - length + 1, 0) : end] = False
+    window = np.flatnonzero(whole)
 
-    def bundled(doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bundled(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chosen = least[window]
-        new = np.ones(len(doc), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1]) | (window[1:] != window[:-1] + 1)
+        new = np.ones(len(window), bool)
+        new[1:] = (chosen[1:] != chosen[:-1]) | (window[1:] != window[:-1] + 1)
         first = np.flatnonzero(new)
-        return first, np.diff(np.append(first, len(doc)))
+        return first, np.diff(np.append(first, len(window)))
 
-    first, count = bundled(doc, window)
-    again = _dense_repeats(doc, window, first, count, prefix, length)
+    first, count = bundled(window)
+    again = _dense_repeats(offs, window, first, count, prefix, length)
+    repeats = window[again]
     if len(again):
         keep = np.ones(len(window), bool)
         keep[again] = False
-        repeats = window[again]
-        doc, window = doc[keep], window[keep]
-        first, count = bundled(doc, window)
-    else:
-        repeats = none
-    return doc[first], window[first], count, hashes[least[window[first]]], repeats, prefix
+        window = window[keep]
+        first, count = bundled(window)
+    start = window[first]
+    return np.searchsorted(offs, start, "right") - 1, start, count, hashes[least[start]], repeats, prefix
 
 
-def _dense_repeats(doc: np.ndarray, window: np.ndarray, first: np.ndarray, count: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
+def _dense_repeats(offs: np.ndarray, window: np.ndarray, first: np.ndarray, count: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
     """Indices of windows in stretches of small bundles that the same text has earlier in such a stretch."""
     small = np.concatenate([[False], count <= DENSE, [False]])
     edge = np.flatnonzero(small[1:] != small[:-1]).reshape(-1, 2)
     edge = edge[edge[:, 1] - edge[:, 0] >= DENSE_RUN]
     if not len(edge):
         return np.zeros(0, np.int64)
-    ends = np.append(first, len(doc))
+    ends = np.append(first, len(window))
     at = np.concatenate([np.arange(ends[x], ends[y]) for x, y in edge])
     start = window[at]
+    doc = np.searchsorted(offs, start, "right")
     # `prefix` alone would do but for clashes; the second hash is of other bytes of the window
     one = kernels.span_hash(prefix, start, start + length)
     two = kernels.span_hash(prefix, start + length // 3, start + length)
-    order = np.lexsort((at, two, one, doc[at]))
-    d, o, t = doc[at][order], one[order], two[order]
+    order = np.lexsort((at, two, one, doc))
+    d, o, t = doc[order], one[order], two[order]
     return at[order[1:][(d[1:] == d[:-1]) & (o[1:] == o[:-1]) & (t[1:] == t[:-1])]]
 
 
@@ -291,7 +291,7 @@ def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map_bits: int = MAP_BITS, place_bits: int = PLACE_BITS, most: int = kernels.CHUNK_BYTES) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map_bits: int = MAP_BITS, place_bits: int = PLACE_BITS, most: int = PIECE) -> DataFrame:
     """base, spans: an array of (start, end) of covered bytes, not merged yet; documents without any don't appear. keyed: base, text."""
     if not 0 < gram <= length // 2:
         raise ValueError("gram must be from 1 to half the length")
@@ -342,7 +342,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[last]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_text: bool = False, place_bits: int = PLACE_BITS, most: int = kernels.CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_text: bool = False, place_bits: int = PLACE_BITS, most: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) for every row of docs."""
     keyed = _based(docs, place_bits)
     spans = repeated_spans(keyed.select("base", "text"), length, place_bits=place_bits, most=most)
