@@ -51,6 +51,7 @@ from attestine.llm import kernels, storage
 LENGTH = 100
 GRAM = 50
 MAP_BITS = 27
+BUNDLES_A_FILE = 1 << 15
 PIECE = 1 << 16  # bytes worked on at once: arrays that stay in the processor's cache
 PLACE_BITS = 28  # of a position within its document
 DENSE, DENSE_RUN = 8, 16  # this many bundles in a row of so few windows: a short period
@@ -305,13 +306,17 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map
     narrow = some.filter("NOT known").select("at", "n", "h1", "h2")
     later = narrow.join(_classes(narrow, ["h1", "h2"]), ["h1", "h2"]).filter("at > first").select("at", "n")
     whole = storage.materialize(later, "later-bundles")
+    known = storage.materialize(some.filter("known").select("at", "n"), "known")
     storage.free_shuffles(spark)
     # a later one of equal bundles has nothing that the first hasn't; a bit map of the firsts lets few others pass, which do no harm
     alone = some.filter("differ").select("at").join(whole.select("at"), "at", "left_anti")
     alone = storage.materialize(alone, "first-bundles")
+    storage.discard(some)
     marks = [F.col("at").bitwiseXOR(F.shiftright("at", 19)), F.shiftright("at", place_bits)]
     firsts = spark.sparkContext.broadcast(tuple(_bit_maps(alone.select(m.alias("m"), F.lit(False).alias("differ")), map_bits)[0] for m in marks))
-    ambiguous = storage.materialize(_bundle_bytes(keyed, firsts, map_bits, length, gram, place_bits, most), "bundle-bytes")
+    # each row becomes dozens of windows, so these files have to be small
+    found = _bundle_bytes(keyed, firsts, map_bits, length, gram, place_bits, most).repartition(1 + alone.count() // BUNDLES_A_FILE)
+    ambiguous = storage.materialize(found, "bundle-bytes")
     firsts.unpersist()
     storage.free_shuffles(spark)
     classes = storage.materialize(_classes(_rank_pairs(ambiguous, length, map_bits), ["r1", "r2"]), "window-classes")
@@ -319,7 +324,6 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map
     either = classes.select(F.col("r1").bitwiseXOR(F.col("r2")).alias("m"), F.lit(False).alias("differ"))
     seen = spark.sparkContext.broadcast(_bit_maps(either, map_bits)[0])
     single = _rank_pairs(ambiguous, length, map_bits, seen).join(classes, ["r1", "r2"]).filter("at > first").select("at", F.lit(1).alias("n"))
-    known = some.filter("known").select("at", "n")
     # of a text that takes several numbers, each has spans of its own
     longer = keyed.select("base", F.shiftright(F.octet_length("text"), place_bits).alias("more")).filter("more > 0")
     parts = longer.select("base", F.explode(F.sequence(F.lit(0), "more")).alias("k")).select("base", (F.col("base") + F.call_function("shiftleft", F.col("k").cast("long"), F.lit(place_bits))).alias("part"))
@@ -328,7 +332,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map
     spans = spans.select("base", F.struct(start.alias("start"), (start + F.col("n") + (length - 1)).alias("end")).alias("span"))
     out = storage.materialize(spans.groupBy("base").agg(F.collect_list("span").alias("spans")), "spans")  # bounded by a document's length
     seen.unpersist()
-    for table in (whole, some, alone, classes, ambiguous):
+    for table in (whole, known, alone, classes, ambiguous):
         storage.discard(table)
     storage.free_shuffles(spark)
     return out
