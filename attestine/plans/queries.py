@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attestine.functions import anchors, bounds, drafts, pages, receipts, spans, symbolic, tokens
 from attestine.functions.lexicon import CONTENT_STOPLIST, DEMOTED_DOMAINS, HEADINGS, LEADING_ANAPHORS, TWO_PART_SUFFIXES
 from attestine.operators import binder, decompose, evaluate, gate, ranking, retrieve
-from attestine.plans import relations, research
+from attestine.plans import relations, research, symbolic_sql
 from attestine.sources import artifacts, search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,26 +316,78 @@ def prune_minimal(spark, d):
 
 # --- symbolic --------------------------------------------------------------------------------------------------------
 
-_MONTHS = "['January','February','March','April','May','June','July','August','September','October','November','December']"
-_FACTS = rf"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS fact_id, l_quantity::INT AS q, year(l_shipdate) AS y, month(l_shipdate) AS m, day(l_shipdate) AS d, trunc(l_discount * 100)::INT AS p, (l_orderkey * 10 + l_linenumber) % 8 AS kind FROM lineitem),
-f AS (SELECT fact_id, kind, q, y, d, p, CASE kind WHEN 1 THEN q + 7 WHEN 6 THEN q - 1 ELSE q END AS sq, CASE WHEN kind = 2 THEN y + 3 ELSE y END AS sy,
-  CASE WHEN kind = 3 THEN d % 28 + 1 ELSE d END AS sd, CASE WHEN kind = 4 THEN p + 20 ELSE p END AS sp FROM r)"""
+def _picked(some, step: int) -> str:
+    return f"{symbolic_sql.texts(some)}[fact_id // {step} % {len(some)} + 1]" if isinstance(some[0], str) else f"[{', '.join(map(str, some))}][fact_id // {step} % {len(some)} + 1]"
 
 
-@query(_FACTS + """ SELECT fact_id, kind::INT AS kind, NOT ((kind <> 6 AND q <> sq) OR (y <> sy AND NOT list_contains([fact_id, sq, sy, sd, sp], y)) OR d <> sd OR p <> sp OR kind = 7) AS consistent FROM f""")
+def _told(first: str, step: int) -> str:
+    rest = " ".join(f"WHEN {k} THEN 'Order ' || fact_id || ': ' || {_picked(some, step)} || '.'" for k, some in ((1, relations.ACTS), (2, relations.MOVES), (3, relations.AMOUNTS)))
+    return f"CASE fact_id % 4 WHEN 0 THEN {first} {rest} END"
+
+
+_H, _N = relations.HEDGES, relations.SHIFTS
+_FACTS = f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS fact_id, l_quantity::INT AS q, year(l_shipdate) AS y, monthname(l_shipdate) AS month, day(l_shipdate) AS d, trunc(l_discount * 100)::INT AS p FROM lineitem),
+facts AS (SELECT fact_id, (fact_id % 4)::INT AS kind,
+{_told(f"'Order ' || fact_id || ' shipped ' || {_picked(_H, 7)} || q || ' units in ' || y || ', on ' || month || ' ' || d || ', at ' || p || '%, see table ' || p || '.'", 4)} AS claim,
+{_told(f"""'Order ' || fact_id || ' shipped ' || {_picked(_H, 5)} || (q + {_picked(_N, 13)}) || {_picked((' units in ', ' units of ', ' units, in a set of '), 17)} || (y + {_picked(_N, 19)}) || ', on '
+  || (CASE WHEN fact_id // 3 % 2 = 0 THEN month || ' ' || d ELSE ((d + {_picked(_N, 11)}) % 28 + 1) || ' ' || month END) || ', at ' || {_picked(_H, 23)} || (p + {_picked(_N, 29)}) || {_picked(('.0', '.4', ''), 31)}
+  || {_picked(('%', ' percent', ' points'), 37)} || ', see ' || {_picked(('table ', 'page '), 41)} || (p + {_picked(_N, 43)}) || '.'""", 32)} AS span FROM r)"""
+
+
+def _rule(name: str) -> None:
+    """A query for one rule: all pairs, and whether it fires."""
+
+    def run(spark, d):
+        f = relations.facts(spark, d)
+        return f.select("fact_id", "kind", (F.size(symbolic.contradiction_messages(F.col("claim"), F.col("span"), [name])) > 0).alias("fires"))
+
+    QUERIES[name] = run
+    SQL[name] = f"{_FACTS}, {symbolic_sql.judged('facts', 'j', 'fact_id, kind', [name])} SELECT fact_id, kind, {name} AS fires FROM j"
+
+
+for _name in symbolic.RULES:
+    _rule(_name)
+
+_ANY = " OR ".join(symbolic.RULES)
+
+
+@query(f"{_FACTS}, {symbolic_sql.judged('facts', 'j', 'fact_id, kind')} SELECT fact_id, kind, NOT ({_ANY}) AS consistent FROM j")
 def symbolic_consistency(spark, d):
     f = relations.facts(spark, d)
     return f.select("fact_id", "kind", (F.size(symbolic.contradiction_messages(F.col("claim"), F.col("span"))) == 0).alias("consistent"))
 
 
-@query()
+_KINDS = {"percentage": "percent_mismatch", "quantity": "unit_mismatch", "year": "year_mismatch", "day of": "date_mismatch", "number of": "index_mismatch", "negation": "negation_flip", "direction": "direction_flip", "quantifier": "quantifier_flip"}
+
+
+@query(f"{_FACTS}, {symbolic_sql.judged('facts', 'j', 'fact_id')} " + " UNION ".join(f"SELECT fact_id, '{what}' AS what FROM j WHERE {name}" for what, name in _KINDS.items()))
 def symbolic_messages(spark, d):
     f = relations.facts(spark, d)
-    return f.select("fact_id", F.explode(symbolic.contradiction_messages(F.col("claim"), F.col("span"))).alias("message"))
+    said = f.select("fact_id", F.explode(symbolic.contradiction_messages(F.col("claim"), F.col("span"))).alias("message"))
+    return said.select("fact_id", F.regexp_extract("message", f"^({'|'.join(_KINDS)})", 1).alias("what")).distinct()
 
 
 # --- binding ---------------------------------------------------------------------------------------------------------
 
+_SECOND = "shipped, studies agreed, and exports or pain are as told."
+
+
+@query(f"""{_FACTS}, {symbolic_sql.judged('facts', 'j', 'fact_id, claim, span')},
+two AS (SELECT fact_id, claim, span AS first_span, NOT ({_ANY}) AS first_ok, 'Order ' || fact_id || ' {_SECOND}' AS span FROM j),
+{symbolic_sql.judged('two', 'k', 'fact_id, claim, first_span, first_ok, span')},
+e AS (SELECT fact_id, first_span, first_ok, span, NOT ({_ANY}) AS ok, {_jac(f"list_distinct({_tok('claim')})", f"list_distinct({_tok('first_span')})")} AS e1, {_jac(f"list_distinct({_tok('claim')})", f"list_distinct({_tok('span')})")} AS e2 FROM k),
+w AS (SELECT *, CASE WHEN first_ok AND e1 >= 0.3 AND (e1 >= e2 OR NOT ok OR e2 < 0.3) THEN 1 WHEN ok AND e2 >= 0.3 THEN 2 ELSE 0 END AS win FROM e)
+SELECT fact_id, win > 0 AS cited, CASE win WHEN 1 THEN first_span WHEN 2 THEN span END AS cited_span, round(CASE win WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE greatest(e1, e2) END, 6) AS entailment,
+CASE win WHEN 0 THEN (CASE WHEN e1 >= e2 THEN first_ok ELSE ok END) ELSE TRUE END AS symbolic_ok FROM w""")
+def bind_contradicted(spark, d):
+    """Sources whose nearest sentence often contradicts the claim: the gate decides, and abstaining rows keep its verdict."""
+    f = relations.facts(spark, d)
+    text = F.concat("span", F.lit(" Order "), F.col("fact_id").cast("string"), F.lit(" " + _SECOND))
+    pairs = f.select("fact_id", "claim", F.lit("u").alias("source_url"), text.alias("source_text"), F.lit("OK").alias("verdict"))
+    bound = binder.bind(pairs, binder.BinderConfig(tau=0.3, coref=False))
+    return bound.select("fact_id", "cited", "cited_span", F.round("entailment", 6).alias("entailment"), "symbolic_ok")
+
+
 # the oracle leaves out the consistency check: no benchmark sentence and its best span contradict each other
 _BIND = _POOL.split("SELECT id AS pair_id")[0].rstrip() + f""",
 cand AS (SELECT r.id, r.rank, p.text FROM rk r JOIN pool p ON p.id = r.id AND p.i = r.i WHERE r.rank < 48),

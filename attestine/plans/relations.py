@@ -13,6 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores: a table of one row group is one task, however much work each row takes."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, url, text, verdict: documents judged by their labels; without a label a source is unverified."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
@@ -57,18 +63,38 @@ def search_hits(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
     return both.select("question_id", "question", "list_id", "rank", "title", "url", "snippet")
 
 
+#: Parts of the generated pairs; which one a row takes is told by its number.
+HEDGES = ("", "about ", "more than ", "~", "up to ", "no fewer than ")
+SHIFTS = (0, 1, 7, 30)
+ACTS = ("reduces pain", "does not reduce pain", "fails to reduce pain", "is unable to reduce pain", "reduced the pain of patients", "did not really reduce pain", "never treats viral disease", "reduces pain, but not fever")
+MOVES = ("exports rose", "exports fell", "imports rose sharply", "exports increased output", "export fell", "exports dropped output again", "exports climbed, then fell", "the volume of exports fell slightly")
+AMOUNTS = ("all studies agreed", "some studies agreed", "most of the studies agreed", "few studies agreed", "no study agreed", "several studies agreed, while few studies agreed", "most studies agreed, all of the studies agreed", "none of the other votes agreed")
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fact_id, claim, span, kind: claims on orders and spans that state them rightly or with one thing changed."""
-    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), F.col("l_quantity").cast("int").alias("q"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"), F.dayofmonth("l_shipdate").alias("d"), (F.col("l_discount") * 100).cast("int").alias("p"))
-    kind = (F.col("fact_id") % 8).cast("int")
-    month = F.element_at(F.array(*[F.lit(x) for x in ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")]), F.col("m"))
-    s = lambda c: F.col(c).cast("string")
-    claim = F.concat(F.lit("Order "), s("fact_id"), F.lit(" shipped "), s("q"), F.lit(" units in "), s("y"), F.lit(", on "), month, F.lit(" "), s("d"), F.lit(", at a discount of "), s("p"), F.lit("%."))
-    other = lambda on, c, by: F.when(kind == on, (F.col(c) + by).cast("string")).otherwise(s(c))
-    hedge = F.when(kind == 5, F.lit("about ")).when(kind == 6, F.lit("more than ")).otherwise(F.lit(""))
-    quantity = F.when(kind == 6, (F.col("q") - 1).cast("string")).otherwise(other(1, "q", 7))
-    span = F.concat(F.lit("Order "), s("fact_id"), F.when(kind == 7, F.lit(" never shipped ")).otherwise(F.lit(" shipped ")), hedge, quantity, F.lit(" units in "), other(2, "y", 3), F.lit(", on "), month, F.lit(" "), F.when(kind == 3, (F.col("d") % 28 + 1).cast("string")).otherwise(s("d")), F.lit(", at a discount of "), other(4, "p", 20), F.lit("%."))
-    return rows.select("fact_id", kind.alias("kind"), claim.alias("claim"), span.alias("span"))
+    """fact_id, kind, claim, span: statements on orders, and spans that state the same or something else.
+
+    kind 0: numbers, dates and references; 1: negation; 2: direction; 3: quantifiers.
+    """
+    rows = read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), F.col("l_quantity").cast("int").alias("q"), F.year("l_shipdate").alias("y"), F.date_format("l_shipdate", "MMMM").alias("month"),
+        F.dayofmonth("l_shipdate").alias("d"), (F.col("l_discount") * 100).cast("int").alias("p"),
+    )
+    rows = spread(rows)
+    variant = lambda step, n: F.pmod(F.floor(F.col("fact_id") / step), F.lit(n)).cast("int")
+    pick = lambda some, step: F.element_at(F.array(*[F.lit(x) for x in some]), variant(step, len(some)) + 1)
+    s = lambda c: c.cast("string")
+    q, y, d, p, order = F.col("q"), F.col("y"), F.col("d"), F.col("p"), F.concat(F.lit("Order "), s(F.col("fact_id")))
+    claim = F.concat(order, F.lit(" shipped "), pick(HEDGES, 7), s(q), F.lit(" units in "), s(y), F.lit(", on "), "month", F.lit(" "), s(d), F.lit(", at "), s(p), F.lit("%, see table "), s(p), F.lit("."))
+    day = F.when(variant(3, 2) == 0, F.concat("month", F.lit(" "), s(d))).otherwise(F.concat(s(F.pmod(d + pick(SHIFTS, 11), F.lit(28)) + 1), F.lit(" "), "month"))
+    span = F.concat(
+        order, F.lit(" shipped "), pick(HEDGES, 5), s(q + pick(SHIFTS, 13)), pick((" units in ", " units of ", " units, in a set of "), 17), s(y + pick(SHIFTS, 19)), F.lit(", on "), day, F.lit(", at "),
+        pick(HEDGES, 23), s(p + pick(SHIFTS, 29)), pick((".0", ".4", ""), 31), pick(("%", " percent", " points"), 37), F.lit(", see "), pick(("table ", "page "), 41), s(p + pick(SHIFTS, 43)), F.lit("."),
+    )
+    told = lambda some, step: F.concat(order, F.lit(": "), pick(some, step), F.lit("."))
+    kind = F.pmod("fact_id", F.lit(4)).cast("int")
+    by_kind = lambda first, step: F.when(kind == 0, first).when(kind == 1, told(ACTS, step)).when(kind == 2, told(MOVES, step)).otherwise(told(AMOUNTS, step))
+    return rows.select("fact_id", kind.alias("kind"), by_kind(claim, 4).alias("claim"), by_kind(span, 32).alias("span"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +114,4 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["cite_gate", "claims", "facts", "labelled", "ok_sources", "read", "search_hits", "sources"]
+__all__ = ["cite_gate", "claims", "facts", "labelled", "ok_sources", "read", "search_hits", "sources", "spread"]
