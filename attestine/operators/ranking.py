@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,17 +56,38 @@ def prefilter(claim_words: Column, texts: Column, k: int = 48) -> Column:
     return F.when(F.size(texts) == 0, F.array().cast("array<int>")).when(few, places).when(F.size(claim_words) == 0, F.slice(places, 1, max(k, 1))).otherwise(ranked)
 
 
-def top_sources(claims: DataFrame, sources: DataFrame, k: int = 3) -> DataFrame:
+def top_sources(claims: DataFrame, sources: DataFrame, k: int = 3, least: int = 4) -> DataFrame:
     """claim_id, source_id, matched, source_rank: for each claim the k sources that hold most of its words.
 
-    An inverted index instead of all pairs: words of sources meet words of claims. Sources with no word in common
-    are left out; they can't support anything. Ties go to the smaller source_id.
+    The rarer half of a claim's words finds k sources; the words that these hold are a bound that the k best reach. Of
+    the n - bound + `least` rarest of a claim's n words, a source that reaches the bound holds `least` or more, so
+    only sources that do are counted out. Common words are joined only for claims that no source is near to. Sources
+    with no word in common are left out; they can't support anything. Ties go to the smaller source_id.
     """
-    wanted = claims.select("claim_id", F.explode(token_set(F.col("claim"))).alias("word"))
-    held = sources.select("source_id", F.explode(token_set(F.col("text"))).alias("word"))
-    matched = held.join(wanted, "word").groupBy("claim_id", "source_id").agg(F.count(F.lit(1)).alias("matched"))
-    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("matched"), "source_id"))
-    return matched.withColumn("source_rank", rank).filter(F.col("source_rank") <= k)
+    # one exchange each, read by every use below
+    asked = claims.select("claim_id", token_set(F.col("claim")).alias("asked")).repartition("claim_id")
+    held = sources.select("source_id", token_set(F.col("text")).alias("held")).repartition("source_id")
+    # words as hashes: a clash lets a candidate more pass, which is then counted by its words. Sizes of what explodes are underestimated, so Spark would broadcast these
+    hashed = lambda words: F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("word")
+    postings = held.select("source_id", hashed("held")).hint("merge")
+    wanted = asked.select("claim_id", hashed("asked"))
+    frequency = postings.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    per = Window.partitionBy("claim_id")
+    ranked = wanted.join(frequency, "word").withColumn("place", F.row_number().over(per.orderBy("df", "word"))).withColumn("n", F.count(F.lit(1)).over(per))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(asked, "claim_id").join(held.hint("merge"), "source_id")
+        return both.select("claim_id", "source_id", F.size(F.array_intersect("asked", "held")).cast("long").alias("matched"))
+
+    shared = F.count(F.lit(1)).alias("shared")
+    near = ranked.filter(F.col("place") <= F.greatest(F.lit(least), F.col("n") / 2)).join(postings, "word").groupBy("claim_id", "source_id").agg(shared)
+    near = near.withColumn("r", F.row_number().over(per.orderBy(F.desc("shared"), "source_id"))).filter(F.col("r") <= k)
+    bound = counted(near.select("claim_id", "source_id")).groupBy("claim_id").agg(F.when(F.count(F.lit(1)) == k, F.min("matched")).otherwise(0).alias("bound"))
+    rare = ranked.join(bound, "claim_id").withColumn("taken", F.least(F.col("n"), F.col("n") - F.col("bound") + least)).filter(F.col("place") <= F.col("taken"))
+    needed = F.greatest(F.col("bound") - (F.col("n") - F.col("taken")), F.lit(1))
+    candidates = rare.select("claim_id", "word", needed.alias("needed")).join(postings, "word").groupBy("claim_id", "source_id", "needed").agg(shared).filter("shared >= needed").select("claim_id", "source_id")
+    rank = F.row_number().over(per.orderBy(F.desc("matched"), "source_id"))
+    return counted(candidates).withColumn("source_rank", rank).filter(F.col("source_rank") <= k)
 
 
 def rrf_fuse(hits: DataFrame, constant: int = 60) -> DataFrame:
@@ -123,22 +151,57 @@ def fifo_cap(rows: DataFrame, sequence: str, cap: int = 500) -> DataFrame:
     return rows.orderBy(F.desc(sequence)).limit(cap)
 
 
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+def cosine_topk(queries: DataFrame, items: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """query_id, item_id, cosine, rank: the k nearest items, ties to the smaller id; a zero vector has cosine 0 to all.
 
-    queries (query_id, vector) are a stated set, small beside items (item_id, vector), so each item meets every query
-    and only k candidates a query leave a task.
+    queries (query_id, vector) are a stated set that meets all items (item_id, vector), a block of queries at a time:
+    `block` vectors are broadcast, each task multiplies them with its items and gives k candidates a query and batch.
+    Vectors are of one length; a null vector counts as zero.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with("qv", "iv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    q = queries.select("query_id", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
-    i = items.select("item_id", F.col("vector").alias("iv"), norm(F.col("vector")).alias("inorm"))
-    cosine = F.when((F.col("qn") == 0) | (F.col("inorm") == 0), 0.0).otherwise(dot / (F.col("qn") * F.col("inorm")))
-    scored = i.join(q).select("query_id", "item_id", F.round(cosine, 9).alias("cosine"))
+    spark = items.sparkSession
+    n = queries.count()
+    keyed = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).alias("block"))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(items.dtypes)['item_id']}, cosine double"
+    found = [items.select("item_id", "vector").mapInArrow(_nearest_in(spark.sparkContext.broadcast(_block(keyed.filter(F.col("block") == b))), k), schema) for b in range(max(1, -(-n // block)))]
+    scored = reduce(DataFrame.union, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length 1, or 0 for zero vectors and nulls."""
+    rows = column.to_pylist() if column.null_count else None
+    if rows is not None:
+        width = max((len(r) for r in rows if r is not None), default=0)
+        out = np.array([r if r is not None else [0.0] * width for r in rows], np.float64).reshape(len(rows), -1)
+    else:
+        flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+        out = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _block(queries: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    table = queries.select("query_id", "vector").toArrow().combine_chunks()
+    return table["query_id"].combine_chunks(), _units(table["vector"])
+
+
+def _nearest_in(block, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = block.value
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")  # ties to the smaller id
+            batch = batch.take(pa.array(order))
+            cosine = np.round(asked @ _units(batch.column(1)).T, 9) + 0.0
+            best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(ids)), best.shape[1])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), batch.column(0).take(pa.array(best.ravel())), pa.array(cosine[rows, best.ravel()])], ["query_id", "item_id", "cosine"])
+
+    return run
+
+
 def prune(cited: DataFrame, tau: float = 0.7) -> DataFrame:
     """The least set of spans that still supports each claim; cited: claim_id, pos, span_text, source_url, score.
 
@@ -148,3 +211,6 @@ def prune(cited: DataFrame, tau: float = 0.7) -> DataFrame:
     every = Window.partitionBy("claim_id")
     order = F.row_number().over(every.orderBy(F.desc("score"), F.desc("span_text"), F.desc("source_url"), F.desc("pos")))
     return cited.withColumn("top", F.max("score").over(every)).withColumn("place", order).filter((F.col("top") < tau) | (F.col("place") == 1)).drop("top", "place")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,7 +10,12 @@ from attestine.operators.gate import cite_gate
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in WORKED_ON else rows
+
+
+#: Tables whose rows take much work each.
+WORKED_ON = ("documents", "pages")
 
 
 def spread(rows: DataFrame) -> DataFrame:
