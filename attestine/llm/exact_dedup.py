@@ -1,11 +1,13 @@
 """Exact deduplication against a persistent digest index, with DataFrame operations only.
 
-The index is a table with one row per digest (digest, keep_id, group_size, keep_copies), bucketed and sorted by
-digest. New documents are aggregated to one row per digest before anything is joined, anti-joined with the index
-by sort-merge (the index side needs no exchange) and what is new is appended.
+The index is a table (digest, keep_id, group_size, keep_copies), bucketed and sorted by digest. A batch of documents is
+aggregated to one row per digest before anything is joined, anti-joined with the index by sort-merge (the index side
+needs no exchange), and what is new is appended; of digests that the index holds, a row without keep_id is appended
+that adds the batch's copies to the group. `rows` gives one row per digest, summed within the buckets.
 
 Within one batch the row with the largest doc_id of a group stays; a digest that is already in the index keeps the
-document that the index names, and all new rows with it go.
+document that the index names, and all new rows with it go. `exact_groups` loads a table in batches of falling
+doc_id, so that the row with the largest doc_id of all stays.
 
 Defined cases: a null text counts as empty, so that all of these are one group; a null doc_id stays only if its
 group has no other; repeated rows (the same doc_id and text) form one group of which `deduplicate` keeps one row;
@@ -19,6 +21,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestine.llm import storage
+
 HOT_SHARE = 1000  # a digest with over 1/1000 of all rows (and over HOT_ROWS) is hot: at most 1000 of these exist
 HOT_ROWS = 500
 
@@ -39,11 +43,12 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.table)
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """digest, keep_id, group_size, keep_copies: one row per digest; needs no exchange."""
+        return self.spark.table(self.table).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("keep_copies").alias("keep_copies"))
 
     def append(self, docs: DataFrame) -> None:
-        """Add the digests of docs (doc_id, text) that the index doesn't hold."""
-        new = (
+        """Add the digests of docs (doc_id, text) that the index doesn't hold, and the copies of those it does."""
+        batch = (
             docs.select("doc_id", text_digest().alias("digest"))
             .groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
             .groupBy("digest").agg(
@@ -53,9 +58,14 @@ class DigestIndex:
             )
         )
         if self.exists():
-            new = new.join(self.rows().hint("merge"), "digest", "left_anti")
+            batch = storage.materialize(batch, "digest-batch")
+            held = self.spark.table(self.table).select("digest").hint("merge")
+            new = batch.join(held, "digest", "left_anti")
+            id_type = dict(batch.dtypes)["keep_id"]
+            more = batch.join(held, "digest", "left_semi").select("digest", F.lit(None).cast(id_type).alias("keep_id"), "group_size", F.lit(None).cast("long").alias("keep_copies"))
+            new = new.select("digest", "keep_id", "group_size", "keep_copies").union(more).repartition(self.buckets, "digest")
         else:
-            new = new.repartition(self.buckets, "digest")
+            new = batch.repartition(self.buckets, "digest")
         new.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def label(self, docs: DataFrame) -> DataFrame:
@@ -79,22 +89,43 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
+def exact_groups(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
+
+    Without an index, docs are loaded into one of their own in `batches` ranges of falling doc_id, each deduplicated
+    against those before; it is dropped at the end.
+    """
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
-    index.append(docs)
+    if own and batches > 1:
+        cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)])).first()[0] or []
+        above = None
+        for low in [*dict.fromkeys(cuts), None]:
+            upper = F.lit(True) if above is None else F.coalesce(F.col("doc_id") < above, F.lit(True))
+            index.append(docs.filter(upper & (F.coalesce(F.col("doc_id") >= low, F.lit(False)) if low is not None else F.lit(True))))
+            above = low
+    else:
+        index.append(docs)
     labelled = index.label(docs.select("doc_id", "text"))
-    return labelled.select(
+    out = labelled.select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256")
     )
+    if own:
+        out = storage.materialize(out, "exact-groups")
+        index.drop()
+    return out
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns. Without an index, one is made and dropped.
 
     Rows are matched with the index by digest and doc_id together, which no group of copies makes uneven.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    if index is None:
+        index = DigestIndex(docs.sparkSession)
+        out = storage.materialize(deduplicate(docs, index), "exact-kept")
+        index.drop()
+        return out
     index.append(docs)
     digest, keep = "__digest", "__keep_id"
     # a null doc_id can't be a join key; -1 with the digest tells whether a group has one

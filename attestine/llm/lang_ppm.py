@@ -13,7 +13,11 @@ The classifier is fitted on a bounded sample: at most `sample_rows` labelled row
 smallest hash of doc_id, and of those only up to `sample_bytes` bytes a language (whole texts, in that order).
 Everything else covers all rows and whole texts.
 
-Defined cases: null text, or text without a letter, is `und` with score 0; with no labelled rows every text is;
+`keep_recognised` rejects what is `und`, and texts that even the best language's model does not compress: MOST_BITS
+bits a byte is the uniform code, and clean texts of a learned language, a few words long or with keys and numbers
+among them, stay well below it.
+
+Defined cases: null text, or text without a letter (a character of Unicode category L), is `und` with score 0; with no labelled rows every text is;
 rows with null lang are never learned from; ties go to the language first in order; repeated rows are alike; extra
 columns pass through `keep_recognised`; an empty table gives no rows.
 """
@@ -32,11 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from attestine.llm import kernels
+from attestine.llm import kernels, storage
 
 SAMPLE_ROWS = 300
 SAMPLE_BYTES = 1_000_000
 UNKNOWN = "und"
+MOST_BITS = 8.0
+BROADCAST_ROWS = 1 << 20  # chosen (doc_id, lang) pairs; beyond that (over 3,000 languages) they are joined by a shuffle
+MODEL_BYTES = 1 << 30
 
 
 @dataclass
@@ -84,6 +91,9 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         s = [symbol[(gram >> shift) & 255] for shift in (24, 16, 8, 0)]
         parts[lang] = ((s[0] * a + s[1]) * a + s[2], s[1] * a + s[2], s[2], s[3], times)
     known = np.unique(np.concatenate([p[0] for p in parts.values()])) if parts else np.zeros(0, np.int64)
+    size = 4 * (a**3 + (len(known) + 1 + a * a) * a * len(languages))
+    if size > MODEL_BYTES:
+        raise ValueError(f"the model of {len(languages)} languages takes {size} bytes, over {MODEL_BYTES}: fit it on fewer sample_bytes")
     context = np.zeros(a**3, np.int32)
     context[known] = np.arange(1, len(known) + 1)
     cost = np.empty((len(known) + 1, a, len(languages)), np.float32)
@@ -133,7 +143,9 @@ def train(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int
     chosen = labelled.select("doc_id", "lang", F.octet_length("text").alias("bytes")).withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= sample_rows)
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = chosen.withColumn("before", before).filter(F.col("before") < sample_bytes).select("doc_id", "lang").distinct()
-    sample = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    chosen = storage.materialize(chosen, "language-sample")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    sample = labelled.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +177,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_
         import re
 
         frozen = Model(*shared.value)
-        letter = re.compile(r"[^\W\d_]")
+        word = re.compile(r"[^\W\d_]+")  # holds numbers like ² and Ⅷ, too
         for batch in batches:
             text = batch.column(where)
             best, score, per = [], [], []
@@ -178,7 +190,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_
                     sure = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
                 for k in range(last - first):
                     value = text[first + k]
-                    if not frozen.languages or not value.is_valid or not letter.search(value.as_py()):
+                    if not frozen.languages or not value.is_valid or not any(c.isalpha() for m in word.finditer(value.as_py()) for c in m[0]):
                         best.append(UNKNOWN), score.append(0.0), per.append(None)
                     else:
                         best.append(frozen.languages[at[k]]), score.append(float(sure[k])), per.append(float(low[k] / size[k]))
@@ -193,10 +205,10 @@ def held_out(parts: int, remainder: int):
 
 
 def keep_recognised(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is recognised, with the columns of docs."""
+    """The rows of docs whose language is recognised and whose code is shorter than the text, with the columns of docs."""
     model = train(docs)
     names = ("__lang_pred", "__score", "__bits_per_byte")
-    return predict(docs, model, names).filter(F.col(names[0]) != UNKNOWN).select(*docs.columns)
+    return predict(docs, model, names).filter((F.col(names[0]) != UNKNOWN) & (F.col(names[2]) < MOST_BITS)).select(*docs.columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

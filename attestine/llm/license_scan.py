@@ -42,6 +42,29 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "MIT-body": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+        "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-2-Clause-body": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR "
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+        "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+        "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC-body": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+        "in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+        "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -83,7 +106,8 @@ def _classes(templates: dict[str, str], share: float) -> list[dict]:
     """Templates by number of shingles, a factor of two at most within a class."""
     groups: dict[int, dict[str, int]] = {}
     for name, text in templates.items():
-        n = max(1, len(_words(text)) - WIDTH + 1)
+        words = _words(text)
+        n = len({tuple(words[k : k + WIDTH]) for k in range(max(1, len(words) - WIDTH + 1))})
         groups.setdefault(n.bit_length(), {})[name] = n
     out = []
     for _, members in sorted(groups.items()):
@@ -97,37 +121,37 @@ def _classes(templates: dict[str, str], share: float) -> list[dict]:
     return out
 
 
-def _samples(hashes: Column, bands: int) -> Column:
+def _samples(hashes: Column, bands: Column) -> Column:
     """One MinHash sample for each band."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float = 0.8) -> DataFrame:
-    """doc_id, license, containment (the best), n_windows, first_word, last_word for each licence found in a document."""
-    spark = docs.sparkSession
-    templates = TEMPLATES if templates is None else templates
+def windows(docs: DataFrame, templates: dict[str, str], share: float = 0.8) -> DataFrame:
+    """doc_id, class, start, window, bands, have: the shingles of each window of texts that can hold a template; one scan for all classes."""
     words = sorted({w for t in templates.values() for w in needed_words(t, share)})
     lowered = F.lower(F.col("text"))
     may = F.lit(False)
     for w in words:
         may = may | F.contains(lowered, F.lit(w))
-    texts = docs.select("doc_id", "text").filter(may).select("doc_id", shingles(F.col("text")).alias("runs"))
-    found = []
-    for c in _classes(templates, share):
-        named = spark.createDataFrame([(n, templates[n]) for n in c["names"]], "license string, text string").select("license", F.array_distinct(shingles(F.col("text"))).alias("want"))
-        keys = named.select("license", "want", F.posexplode(_samples(F.col("want"), c["bands"])).alias("band", "sample"))
-        starts = F.sequence(F.lit(1), F.greatest(F.size("runs"), F.lit(1)), F.lit(c["step"]))
-        windows = texts.filter(F.size("runs") > 0).withColumn("start", F.explode(starts)).select("doc_id", "start", F.slice("runs", F.col("start"), c["window"]).alias("have"))
-        sampled = windows.select("doc_id", "start", "have", F.posexplode(_samples(F.col("have"), c["bands"])).alias("band", "sample"))
-        near = sampled.join(F.broadcast(keys), ["band", "sample"])  # templates x bands rows
-        held = F.size(F.array_intersect("have", "want")) / F.size("want")
-        sure = near.withColumn("containment", held).filter(F.col("containment") >= share - 1e-9)
-        found.append(sure.select("doc_id", "license", "containment", "start", F.lit(c["window"]).alias("window")))
-    if not found:
+    kinds = F.array(*[F.struct(F.lit(k).alias("class"), F.lit(c["step"]).alias("step"), F.lit(c["window"]).alias("window"), F.lit(c["bands"]).alias("bands")) for k, c in enumerate(_classes(templates, share))])
+    texts = docs.select("doc_id", "text").filter(may).select("doc_id", shingles(F.col("text")).alias("runs")).filter(F.size("runs") > 0)
+    each = texts.withColumn("kind", F.explode(kinds)).select("doc_id", "runs", "kind.*")
+    placed = each.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("runs"), F.col("step"))))
+    return placed.select("doc_id", "class", "start", "window", "bands", F.slice("runs", F.col("start"), F.col("window")).alias("have"))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float = 0.8) -> DataFrame:
+    """doc_id, license, containment (the best), n_windows, first_word, last_word for each licence found in a document."""
+    spark = docs.sparkSession
+    templates = TEMPLATES if templates is None else templates
+    if not templates:
         return spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long, first_word long, last_word long")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    named = spark.createDataFrame([(n, templates[n], k, c["bands"]) for k, c in enumerate(_classes(templates, share)) for n in c["names"]], "license string, text string, class int, bands int")
+    keys = named.withColumn("want", F.array_distinct(shingles(F.col("text")))).select("class", "license", "want", F.posexplode(_samples(F.col("want"), F.col("bands"))).alias("band", "sample"))
+    sampled = windows(docs, templates, share).select("doc_id", "class", "start", "window", "have", F.posexplode(_samples(F.col("have"), F.col("bands"))).alias("band", "sample"))
+    near = sampled.join(F.broadcast(keys), ["class", "band", "sample"])  # templates x bands rows
+    held = F.size(F.array_intersect("have", "want")) / F.size("want")
+    every = near.withColumn("containment", held).filter(F.col("containment") >= share - 1e-9)
     return every.groupBy("doc_id", "license").agg(
         F.max("containment").alias("containment"), F.countDistinct("start").alias("n_windows"),
         (F.min("start") - 1).cast("long").alias("first_word"), F.max(F.col("start") + F.col("window") + WIDTH - 2).cast("long").alias("last_word"),

@@ -51,6 +51,17 @@ def test_exact_groups(spark):
         for k in ids:
             assert (got[k].keep_id, got[k].group_size, got[k].kept, got[k].text_sha256) == (max(ids), len(ids), k == max(ids), hashlib.sha256(text.encode()).hexdigest())
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_groups_without_ids_and_with_clashing_columns(spark, batches):
+    rows = [(None, "a"), (3, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "c"), (9, None), (1, "")]
+    docs = spark.createDataFrame([(k, t, "d", 1, 2) for k, t in rows], "doc_id long, text string, digest string, hot int, keep_id int")
+    got = sorted(((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, batches=batches).collect()), key=str)
+    assert got == sorted([(-1, 3, 2, False), (3, 3, 2, True), (-1, None, 2, True), (-1, None, 2, True), (7, 7, 2, True), (7, 7, 2, True), (9, 9, 2, True), (1, 9, 2, False)], key=str)
+    out = exact_dedup.deduplicate(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id or -1, r.text) for r in out.collect() if r.text) == [(-1, "b"), (3, "a"), (7, "c")]
 
 
 def test_exact_index_is_persistent(spark):
@@ -61,6 +72,9 @@ def test_exact_index_is_persistent(spark):
     again = exact_dedup.deduplicate(more, index)
     assert [r.doc_id for r in again.collect()] == [20] and again.columns == docs.columns
     assert index.rows().count() == 4
+    assert sorted(r.group_size for r in index.rows().collect()) == [2, 2, 3, 4]  # later copies count
+    groups = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(spark.createDataFrame([(30, "a", None, None, 1, "x")], DOCS), index).collect()}
+    assert groups == {30: (1, 5, False)}
     plan = index.rows().join(index.rows().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     index.drop()

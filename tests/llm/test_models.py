@@ -132,6 +132,17 @@ def test_language_id(spark):
     assert kept.columns == table.columns and kept.filter("doc_id = 10").first().score == 0.5 and {r.doc_id for r in kept.collect()}.isdisjoint({200, 201, 202})
 
 
+def test_language_id_letters_and_code_length(spark):
+    rows = [(k, text(k, 60, ("en", "fr")[k % 2]), ("en", "fr")[k % 2]) for k in range(60)]
+    rows += [(100, "²½ Ⅷ ①", "en"), (101, "Ж" * 40, None), (102, "the", None), (103, text(500, 20000, "en"), None), (104, text(7, 60, "fr"), "fr"), (104, text(7, 60, "fr"), "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("bits_per_byte", F.lit("clash"))
+    got = {r.doc_id: r for r in lang_ppm.predict(table.drop("lang"), lang_ppm.train(table)).collect()}
+    assert got[100].lang_pred == "und" and got[101].bits_per_byte >= lang_ppm.MOST_BITS > got[102].bits_per_byte and got[103].lang_pred == "en" and got[104].lang_pred == "fr"
+    kept = lang_ppm.keep_recognised(table)
+    assert kept.columns == table.columns and {r[0] for r in rows} - {r.doc_id for r in kept.collect()} == {100, 101}
+    assert lang_ppm.keep_recognised(table.limit(0)).count() == 0
+
+
 def ppm_bits(train, data, order=3):
     """Straightforward PPM, method C with exclusion, frozen."""
     tables = [Counter() for _ in range(order + 1)]
@@ -299,3 +310,39 @@ def test_needed_words_lose_nothing():
         runs = [w[k : k + 5] for k in range(max(1, len(w) - 4))]
         need = license_scan.needed_words(t, 0.8)
         assert sum(not set(need) & set(r) for r in runs) < 0.8 * len(runs)
+
+
+def test_license_scan_against_brute_force(spark):
+    """Every window of the operator against every template, without bands; edited bodies, a very long text, repeated rows and clashing names."""
+    r = random.Random(5)
+    rows = [(k, text(k, 40)) for k in range(4)] + [(9, None), (10, ""), (11, "MIT"), (12, text(1, 9000) + " " + license_scan.TEMPLATES["ISC-body"])]
+    for k, body in enumerate(license_scan.TEMPLATES.values()):
+        for edits in range(4):
+            w = body.split()
+            for _ in range(edits * len(w) // 60):
+                w[r.randrange(len(w))] = "changed"
+            rows.append((100 + 10 * k + edits, " ".join([text(k, 30), *w, text(k + 1, 20)])))
+    rows.append(rows[-1])
+    docs = spark.createDataFrame([(k, t, "a", 1, 2) for k, t in rows], "doc_id long, text string, license string, start int, have int")
+    want = {name: set(license_scan_runs(spark, body)) for name, body in license_scan.TEMPLATES.items()}
+    classes = license_scan._classes(license_scan.TEMPLATES, 0.8)
+    expected = {}
+    for x in license_scan.windows(docs, license_scan.TEMPLATES).distinct().collect():
+        for name in classes[x["class"]]["names"]:
+            held = len(set(x.have) & want[name]) / len(want[name])
+            if held >= 0.8 - 1e-9:
+                expected.setdefault((x.doc_id, name), []).append((held, x.start))
+    got = {(x.doc_id, x.license): (x.containment, x.n_windows) for x in license_scan.scan(docs).collect()}
+    assert got == {k: (max(h for h, _ in v), len({s for _, s in v})) for k, v in expected.items()}
+    assert (12, "ISC-body") in got and len(got) > 40
+    # the windows of texts that no needed word lets through would find nothing
+    every = {x.doc_id for x in license_scan.windows(docs, license_scan.TEMPLATES).select("doc_id").distinct().collect()}
+    for k, t in rows:
+        if k not in every:
+            runs = set(license_scan_runs(spark, t)) if t else set()
+            assert all(len(runs & w) < 0.8 * len(w) for w in want.values())
+    assert license_scan.scan(docs.limit(0)).count() == 0 and license_scan.scan(docs, {}).count() == 0
+
+
+def license_scan_runs(spark, body):
+    return spark.createDataFrame([(body,)], "t string").select(license_scan.shingles(F.col("t")).alias("r")).first().r
