@@ -1,4 +1,17 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read again as the next one's input."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again as the next one's input.
+
+Every stage but the last returns the columns of its input, whatever their names. Defined cases:
+
+* language ID drops null and empty texts, texts without a letter and texts that no learned language's model compresses;
+  with no labelled rows every document goes; very long texts are scored whole;
+* exact dedup keeps one row of equal texts, the one with the largest doc_id (one without an id only where no other
+  has one), and one of repeated rows;
+* near dedup keeps the smallest doc_id of a component, and every row without an id;
+* mixing takes null languages and sources as a leaf of their own and repeats documents of scarce leaves, up to four times;
+* packing gives a row for each piece of each row; rows with one doc_id are packed each on its own.
+
+Ties go by doc_id. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attestine.llm import exact_dedup, lang_ppm, minhash_dedup, mixing, packing, storage
 from attestine.llm.queries import MIX, tokenizer_file
 
-#: SQL can't express the language model, the sketches or the packing; tests compare run() with a brute-force version.
+#: SQL can't express the language model, the sketches or the packing; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
