@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_
         for batch in batches:
             text = batch.column(where)
             best, score, per = [], [], []
-            for first, last, data, offs in kernels.chunks(text, 1 << 19):
+            for first, last, data, offs in kernels.chunks(text, 1 << 17):
                 size = np.diff(offs)
                 if frozen.languages:
                     bits = code_lengths(frozen, data, offs)

@@ -13,18 +13,27 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder only where none is configured (local mode, tests)."""
+    """The cluster's spark.checkpoint.dir; a local folder only in local mode where none is configured (tests), else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestine-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Batches of whole texts that Python workers get hold 10,000 rows unless the session says otherwise: here `rows`, as both sides keep several."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
