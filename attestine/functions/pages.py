@@ -6,6 +6,7 @@ import html as entities
 import ipaddress
 import re
 import sys
+from html.entities import name2codepoint as codepoints
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 _SILENT = {"script", "style", "noscript", "template"}
 _CHROME = {"nav", "header", "footer", "aside", "form"}
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
+_VOID = set("area base br col embed frame hr img input link meta source track wbr".split())
 _BLOCK = set("address article blockquote br dd div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section table tr ul".split())
 # fixed values: what a shown page may not hold
 _REMOVED = set("script iframe frame frameset object embed applet base form meta link".split())
@@ -34,10 +35,28 @@ def visible_text(page: Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", "")
     text = F.regexp_replace(text, r"(?is)^.*?<body\b[^>]*>", "")
     text = F.regexp_replace(text, r"(?is)</body\s*>.*$", "")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+    # a > within quotes ends no tag
+    text = F.regexp_replace(text, r"""(?s)<(?:[^<>"']|"[^"]*"|'[^']*')*>""", "")
+    return decoded(text)
+
+
+def decoded(text: Column) -> Column:
+    """Character references as characters: the named ones of HTML 4 and numeric ones; what is none stays."""
+    named = F.create_map(*[F.lit(x) for name, code in codepoints.items() for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).cast("int")
+        known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        utf16 = F.when(number < 0x10000, F.concat(F.lpad(F.hex(number), 4, "0"))).otherwise(
+            F.concat(F.hex(F.lit(0xD800) + F.shiftright(number - 0x10000, 10)), F.hex(F.lit(0xDC00) + (number - 0x10000).bitwiseAND(F.lit(0x3FF))))
+        )
+        value = F.when(known, F.decode(F.unhex(utf16), "UTF-16BE")).otherwise(F.element_at(named, name))
+        return F.coalesce(F.when(name != "", F.concat(value, F.substr(part, F.length(name) + 2))), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    joined = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), ""))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 class _Main(HTMLParser):

@@ -27,6 +27,42 @@ def lexical_score(claim: Column, span: Column) -> Column:
     return jaccard(token_set(claim), token_set(span))
 
 
+def with_scripted(rows: DataFrame, script: DataFrame, out: str, default: Scorer = lexical_score) -> DataFrame:
+    """rows (claim, span, ...) with a score: the one that script (claim, span, score) gives for exactly these texts, the highest if it has several, else the default scorer's."""
+    known = script.groupBy("claim", "span").agg(F.max("score").alias("_scripted"))
+    joined = rows.join(known, ["claim", "span"], "left")
+    return joined.withColumn(out, F.coalesce("_scripted", default(F.col("claim"), F.col("span")))).drop("_scripted").select(*rows.columns, out)
+
+
+def windowed(score: Scorer, words: int = 448, most: int = 24) -> Scorer:
+    """A scorer that takes the best score of a claim against each window of `words` words of the span, `most` windows at most (fixed values of the adapter); a short span is one window."""
+
+    def best(claim: Column, span: Column) -> Column:
+        tokens = F.split(strip(span), r"(?U)\s+")
+
+        def over(w: Column) -> Column:
+            last = F.least(F.size(w), F.lit(words * most))
+            windows = F.transform(F.sequence(F.lit(1), last, F.lit(words)), lambda i: F.array_join(F.slice(w, i, words), " "))
+            return F.when(F.size(w) <= words, score(claim, span)).otherwise(F.array_max(F.transform(windows, lambda x: score(claim, x))))
+
+        return let(tokens, over)
+
+    return best
+
+
+def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Scorer:
+    """A scorer backed by a model: `load` runs once in each Python worker, so its imports are needed there only, and gives a function of batches of claims and spans."""
+    import pandas as pd
+
+    def scored(batches):
+        model = load()
+        for claims, spans in batches:
+            yield pd.Series(model(claims.tolist(), spans.tolist()), dtype="float64")
+
+    udf = F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)
+    return lambda claim, span: udf(claim, span)
+
+
 @dataclass(frozen=True)
 class BinderConfig:
     """Thresholds: tau of the first score, tau_second of the second; both from 0 to 1."""

@@ -18,6 +18,14 @@ def split_sentences(drafts: DataFrame) -> DataFrame:
     return rows.withColumn("source_sentence", F.col("text"))
 
 
+def scripted_claims(drafts: DataFrame, script: DataFrame) -> DataFrame:
+    """draft_id, draft, index, text, source_sentence: the claims that script (draft, claims: array of text) gives for a draft, else its sentences."""
+    known = script.select(F.col("draft").alias("_draft"), F.col("claims").alias("_claims")).dropDuplicates(["_draft"])
+    joined = drafts.select("draft_id", "draft").join(known, F.col("draft") == F.col("_draft"), "left")
+    rows = joined.select("draft_id", "draft", F.posexplode(F.coalesce("_claims", naive_sentences(F.col("draft")))).alias("index", "text"))
+    return rows.withColumn("source_sentence", F.col("text"))
+
+
 def parse_reply(replies: DataFrame) -> DataFrame:
     """draft_id, index, text, source_sentence, malformed from JSON replies (draft_id, reply).
 

@@ -55,3 +55,12 @@ def kappa(labels: DataFrame, a: str, b: str) -> DataFrame:
     m = labels.filter(x.isNotNull() & y.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg((x == y).cast("double")).alias("observed"), F.avg(x).alias("px"), F.avg(y).alias("py"))
     expected = F.col("px") * F.col("py") + (1 - F.col("px")) * (1 - F.col("py"))
     return m.select("n", "observed", expected.alias("expected"), F.try_divide(F.col("observed") - expected, 1 - expected).alias("kappa"))
+
+
+def fleiss_kappa(ratings: DataFrame) -> DataFrame:
+    """Fleiss' kappa of ratings (item, category), as many for each item: n items, raters, observed, expected, kappa."""
+    each = ratings.groupBy("item", "category").agg(F.count(F.lit(1)).alias("k"))
+    items = each.groupBy("item").agg(F.sum("k").alias("raters"), F.sum(F.col("k") * (F.col("k") - 1)).alias("agreeing"))
+    of_items = items.agg(F.count(F.lit(1)).alias("n"), F.max("raters").alias("raters"), F.avg(F.try_divide("agreeing", F.col("raters") * (F.col("raters") - 1))).alias("observed"))
+    shares = each.groupBy("category").agg(F.sum("k").alias("k")).agg(F.try_divide(F.sum(F.col("k") * F.col("k")).cast("double"), F.pow(F.sum("k"), F.lit(2.0))).alias("expected"))
+    return of_items.join(shares).withColumn("kappa", F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected")))  # one row each

@@ -193,11 +193,11 @@ def preceding_context(spark, d):
     return rows.select("doc_id", F.col("k").cast("long").alias("span_idx"), F.md5(spans.preceding_context(F.col("text"), F.col("s.start")).cast("binary")).alias("context"))
 
 
-_LOC = f"WITH {_SOURCES}, {_CLAIMS}, {_top('top', 'TRUE')}, lo AS (SELECT t.claim_id, t.source_id, string_split(c.claim, ' ')[1] AS q, s.text AS page, length(s.text) // 2 AS near FROM top t JOIN claims c USING (claim_id) JOIN sources s USING (source_id)) "
+_LOC = f"WITH {_SOURCES}, {_CLAIMS}, {_top('top', 'TRUE')}, lo AS (SELECT t.claim_id, t.source_id, c.claim AS q, s.text AS page, length(s.text) // 2 AS near FROM top t JOIN claims c USING (claim_id) JOIN sources s USING (source_id)) "
 
 
 def _located(spark, d):
-    return _nearest(spark, d).select("claim_id", "source_id", F.split("claim", " ")[0].alias("q"), F.col("text").alias("page"), (F.length("text") / 2).cast("int").alias("near"))
+    return _nearest(spark, d).select("claim_id", "source_id", F.col("claim").alias("q"), F.col("text").alias("page"), (F.length("text") / 2).cast("int").alias("near"))
 
 
 @query(_LOC + """, oc AS (SELECT claim_id, source_id, near, unnest(list_filter(range(0, length(page) - length(q) + 1), lambda i: substr(page, (i + 1)::BIGINT, length(q)) = q)) AS p FROM lo WHERE contains(page, q))
@@ -402,7 +402,43 @@ FROM claims c LEFT JOIN bc b USING (claim_id)"""
 @query(_BIND)
 def bind_claims(spark, d):
     config = binder.BinderConfig(tau=0.5, coref=False)
-    return research.bind_nearest(relations.claims(spark, d), relations.ok_sources(spark, d), config).drop("start", "end")
+    bound = research.bind_nearest(relations.claims(spark, d), relations.ok_sources(spark, d), config)
+    return bound.select("claim_id", "claim", "status", "source_id", "url", "cited_span", "entailment")
+
+
+_SHOWN = "CASE WHEN b.source_id % 3 = 0 THEN left(s.text, 1) ELSE s.text END"
+
+
+@query(_BIND.split("bc AS (")[0] + f"""bs AS (SELECT b.* FROM bp b JOIN sources s USING (source_id) WHERE contains({_SHOWN}, b.text)),
+bc AS (SELECT * FROM bs QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY source_rank) = 1),
+bb AS (SELECT claim_id, max(e) AS best FROM se GROUP BY 1), nt AS (SELECT claim_id, count(*) AS n_tried FROM top GROUP BY 1)
+SELECT c.claim_id, CASE WHEN b.claim_id IS NULL THEN 'unverified' ELSE 'cited' END AS status, b.source_id, b.text AS cited_span, CASE WHEN b.claim_id IS NOT NULL THEN 'exact' END AS strategy,
+coalesce(n_tried, 0) AS n_tried, round(best, 6) AS best_entailment FROM claims c LEFT JOIN bc b USING (claim_id) LEFT JOIN bb USING (claim_id) LEFT JOIN nt USING (claim_id)""")
+def research_run(spark, d):
+    """A third of the sources has a snapshot that holds next to nothing: what they support can't be anchored, so the next source is taken."""
+    shown = relations.ok_sources(spark, d).withColumn("target", F.when(F.col("source_id") % 3 == 0, F.left("text", F.lit(1))).otherwise(F.col("text")))
+    items = relations.read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("draft"))
+    pool = shown.select(F.lit(0).alias("question_id"), F.lit(0).alias("rank"), F.lit(1).alias("n_urls"), "source_id")
+    config = research.PipelineConfig(binder=binder.BinderConfig(tau=0.5, coref=False))
+    bound, _ = research.research(items, pool, shown, items, config)
+    return bound.select("claim_id", "status", "source_id", "cited_span", "strategy", "n_tried", "best_entailment")
+
+
+@query(f"""{_FACTS}, e AS (SELECT fact_id, claim, span, {_jac(f"list_distinct({_tok('claim')})", f"list_distinct({_tok('span')})")} AS j FROM facts),
+k AS (SELECT claim, span, max((fact_id % 10) / 10.0) AS s FROM facts WHERE fact_id % 5 = 0 GROUP BY ALL)
+SELECT fact_id, round(coalesce(s, j), 6) AS score FROM e LEFT JOIN k USING (claim, span)""")
+def scripted_scores(spark, d):
+    f = relations.facts(spark, d)
+    script = f.filter("fact_id % 5 = 0").select("claim", "span", (F.col("fact_id") % 10 / 10.0).alias("score"))
+    return binder.with_scripted(f.select("fact_id", "claim", "span"), script, "score").select("fact_id", F.round("score", 6).alias("score"))
+
+
+@query(rf"""WITH {_SOURCES}, {_CLAIMS}, {_top('top', "TRUE")}, w AS (SELECT t.claim_id, t.source_id, c.claim, regexp_split_to_array({_strip('s.text')}, '\s+') AS ws, s.text FROM top t JOIN claims c USING (claim_id) JOIN sources s USING (source_id)),
+u AS (SELECT claim_id, source_id, claim, unnest(CASE WHEN len(ws) <= 40 THEN [text] ELSE list_transform(range(0, least(len(ws), 960), 40), lambda i: array_to_string(ws[i + 1 : i + 40], ' ')) END) AS x FROM w)
+SELECT claim_id, source_id, round(max({_jac(f"list_distinct({_tok('claim')})", f"list_distinct({_tok('x')})")}), 6) AS score FROM u GROUP BY ALL""")
+def windowed_scores(spark, d):
+    score = binder.windowed(binder.lexical_score, words=40, most=24)
+    return _nearest(spark, d).select("claim_id", "source_id", F.round(score(F.col("claim"), F.col("text")), 6).alias("score"))
 
 
 @query()
@@ -491,11 +527,24 @@ def oracle_retrieval(spark, d):
     return retrieve.with_gold(_retrieved(spark, d), gold).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"""WITH {_SOURCES}, q AS (SELECT vec_id AS claim_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+i AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS w FROM embeddings JOIN sources ON source_id = vec_id WHERE verdict = 'OK')
+SELECT claim_id, item_id, row_number() OVER (PARTITION BY claim_id ORDER BY round(list_cosine_similarity(v, w), 9) DESC, item_id) AS rank FROM q, i QUALIFY rank <= 5""")
+def retrieve_citable(spark, d):
+    e = relations.read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    verdicts = relations.sources(spark, d).select(F.col("source_id").alias("vec_id"), "verdict")
+    pool = e.join(verdicts, "vec_id").select(F.col("vec_id").alias("item_id"), "vector", "verdict")
+    top = retrieve.retrieve(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("claim_id"), "vector"), pool)
+    return top.select("claim_id", "item_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def hashed_words(spark, d):
     return relations.claims(spark, d).select("claim_id", F.transform(retrieve.hashed_words(F.col("claim")), lambda x: F.round(x, 9)).alias("vector"))
 
 
+_SETS = [f"list_distinct({_tok(x)})" for x in ("claim", "span")]
+
 # --- drafts ----------------------------------------------------------------------------------------------------------
 
 _DRAFTS = "drafts AS (SELECT conv_id * 1000 + turn AS draft_id, text AS draft FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)"
@@ -509,8 +558,8 @@ def _drafts(spark, d):
 _DECORATED = "'<think>so' || chr(10) || 'on</think>## Title' || chr(10) || '- **' || draft || '**' || chr(10) || '| a | b |' || chr(10) || '---' || chr(10) || '`end`<think>open'"
 
 
-def _decorated():
-    return F.concat(F.lit("<think>so\non</think>## Title\n- **"), F.col("draft"), F.lit("**\n| a | b |\n---\n`end`<think>open"))
+def _decorated(draft=None):
+    return F.concat(F.lit("<think>so\non</think>## Title\n- **"), F.col("draft") if draft is None else draft, F.lit("**\n| a | b |\n---\n`end`<think>open"))
 
 
 @query(f"WITH {_DRAFTS} SELECT draft_id, '## Title' || chr(10) || '- **' || draft || '**' || chr(10) || '| a | b |' || chr(10) || '---' || chr(10) || '`end`' AS prose FROM drafts")
@@ -518,9 +567,9 @@ def strip_reasoning(spark, d):
     return _drafts(spark, d).select("draft_id", drafts.strip_reasoning(_decorated()).alias("prose"))
 
 
-@query()
+@query(rf"WITH {_DRAFTS} SELECT draft_id, {_strip('draft')} || chr(10) || 'end' AS prose FROM (SELECT draft_id, regexp_replace(draft, '\s+', ' ', 'g') AS draft FROM drafts)")
 def strip_markdown(spark, d):
-    return _drafts(spark, d).select("draft_id", drafts.strip_markdown(drafts.strip_reasoning(_decorated())).alias("prose"))
+    return _drafts(spark, d).select("draft_id", drafts.strip_markdown(drafts.strip_reasoning(_decorated(F.regexp_replace("draft", r"\s+", " ")))).alias("prose"))
 
 
 @query()
@@ -535,6 +584,21 @@ def prompt_assembly(spark, d):
     return drafts.prompt_sources(near)
 
 
+@query(f"{_FACTS}, {symbolic_sql.judged('facts', 'j', 'fact_id, claim, span')} SELECT fact_id, {_jac(_SETS[0], _SETS[1])} >= 0.3 AND NOT ({_ANY}) AS kept FROM j")
+def faithful_symbolic(spark, d):
+    """Claims of a draft whose source sentence may contradict them."""
+    f = relations.facts(spark, d).select(F.col("fact_id").alias("draft_id"), F.col("span").alias("draft"), F.col("claim").alias("text"), F.col("span").alias("source_sentence"))
+    return decompose.filter_faithful(f, 0.3).select(F.col("draft_id").alias("fact_id"), "kept")
+
+
+@query(rf"""WITH {_DRAFTS}, a AS (SELECT draft_id, CASE WHEN draft IN (SELECT draft FROM drafts WHERE draft_id % 3 = 0) THEN [draft || '!', 'x'] ELSE list_filter(string_split(regexp_replace({_strip('draft')}, '([.!?])(\s+)', '\1' || chr(2), 'g'), chr(2)), lambda x: x <> '') END AS ss FROM drafts)
+SELECT draft_id, unnest(ss) AS text, generate_subscripts(ss, 1) - 1 AS idx FROM a""")
+def scripted_claims(spark, d):
+    rows = _drafts(spark, d)
+    script = rows.filter("draft_id % 3 = 0").select("draft", F.array(F.concat("draft", F.lit("!")), F.lit("x")).alias("claims"))
+    return decompose.scripted_claims(rows, script).select("draft_id", "text", F.col("index").cast("long").alias("idx"))
+
+
 _SENT = rf"""WITH {_DRAFTS}, ds AS (SELECT draft_id, draft, list_filter(string_split(regexp_replace({_strip('draft')}, '([.!?])(\s+)', '\1' || chr(2), 'g'), chr(2)), lambda x: x <> '') AS ss FROM drafts),
 ats AS (SELECT draft_id, draft, unnest(ss) AS text, generate_subscripts(ss, 1) - 1 AS idx FROM ds),
 jd AS (SELECT *, {_jac(f"list_distinct({_tok('text')})", f"list_distinct({_tok('draft')})")} >= 0.3 AS kept FROM ats) """
@@ -627,7 +691,8 @@ def receipt_html(spark, d):
     return rows.select("page_id", F.md5(html.cast("binary")).alias("digest"), F.length(html).alias("n_chars"))
 
 
-@query()
+@query("""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://10.0.0.' || (page_id % 256) || '/' WHEN 1 THEN 'ftp://' || url ELSE url END AS url FROM pages)
+SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'address' WHEN 1 THEN 'scheme' END AS reason FROM u""")
 def safe_url(spark, d):
     u = relations.read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("http://10.0.0."), F.col("page_id") % 256, F.lit("/"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("ftp://"), F.col("url"))).otherwise(F.col("url")).alias("url"))
     return u.select("page_id", "url", pages.unsafe_reason(F.col("url"), F.array(F.lit("93.184.216.34"))).alias("reason"))
@@ -680,11 +745,67 @@ def wikipedia_hits(spark, d):
     return search.wikipedia_hits(replies).select("question_id", "url", "snippet")
 
 
-@query("SELECT event_id, event_type FROM events")
+@query("SELECT item_id AS question_id, 'https://d.example/' || item_id AS url, text AS title, '' AS snippet FROM benchmark")
+def duckduckgo_hits(spark, d):
+    b = relations.read(spark, d, "benchmark")
+    none = F.lit(None).cast("string")
+    found = F.array(F.struct(none.alias("href"), F.concat(F.lit("https://d.example/"), "item_id").alias("url"), F.col("text").alias("title"), none.alias("body")), F.struct(F.lit("ftp://x").alias("href"), none.alias("url"), F.lit("no").alias("title"), F.lit("").alias("body")))
+    replies = b.select(F.col("item_id").alias("question_id"), F.to_json(found).alias("reply"))
+    return search.duckduckgo_hits(replies).select("question_id", "url", "title", "snippet")
+
+
+@query(f"WITH {_HITS}, h AS (SELECT question_id, url, list_id, rank FROM hits UNION ALL SELECT question_id, url, 2, rank FROM hits WHERE list_id = 0 AND question_id % 2 = 0), z AS (SELECT question_id, url, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score, min(list_id * 1000 + rank) AS f FROM h GROUP BY 1, 2) SELECT question_id, url, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, f) - 1 AS fused_rank FROM z")
+def combined_search(spark, d):
+    """Three services, of which one failed on every other question."""
+    hits = relations.search_hits(spark, d)
+    lists = [hits.filter(F.col("list_id") == k).drop("list_id") for k in (0, 1)] + [hits.filter("list_id = 0 AND question_id % 2 = 0").drop("list_id")]
+    return ranking.rrf_fuse(search.combined(lists)).select("question_id", "url", F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+@query("SELECT page_id, url || ';' || page_id || '.org' AS urls FROM pages")
+def pasted_urls(spark, d):
+    p = relations.read(spark, d, "pages")
+    pasted = F.concat(F.lit(" ,\n"), "url", F.lit(" \n, \t"), F.col("page_id").cast("string"), F.lit(".org,,"))
+    return p.select("page_id", F.array_join(search.pasted_urls(pasted), ";").alias("urls"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'progress' WHEN 1 THEN 'draft' WHEN 2 THEN 'result' ELSE 'error' END AS type, event_type AS data FROM events")
 def event_lines(spark, d):
     e = relations.read(spark, d, "events")
-    lines = artifacts.event_lines(e.select(F.col("event_type").alias("type"), F.col("event_id").cast("string").alias("data")))
-    return lines.select(F.from_json("value", "struct<type:string,data:string>").alias("v")).select(F.col("v.data").cast("long").alias("event_id"), F.col("v.type").alias("event_type"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in artifacts.EVENTS]), (F.col("event_id") % 4).cast("int") + 1)
+    lines = artifacts.event_lines(e.select(F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("data")))
+    return lines.select(F.col("seq").alias("event_id"), F.from_json("value", "struct<type:string,data:string>").alias("v")).select("event_id", "v.type", "v.data")
+
+
+@query("SELECT substr(sha256(url || chr(10) || 'q'), 1, 16) AS receipt_id, max(page_id) AS seq FROM pages GROUP BY 1 ORDER BY 2 DESC LIMIT 500")
+def receipt_store(spark, d):
+    p = relations.read(spark, d, "pages")
+    return artifacts.receipts(p.select(F.col("page_id").alias("seq"), "url", F.lit("q").alias("quote"), "html"), 500).select("receipt_id", "seq")
+
+
+@query(_LABELLED + "SELECT pair_id::VARCHAR AS id, bucket, claim, source_url, verdict, entailed, answerable FROM pairs")
+def labelled_pairs(spark, d):
+    """Pairs written as JSON, one text for each bucket of ids, and read again."""
+    fields = ["bucket", "claim", "source_url", "source_text", "verdict", "entailed", "answerable"]
+    files = relations.labelled(spark, d).groupBy(F.expr("pair_id % 16")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("pair_id").cast("string").alias("id"), *fields)).alias("pairs"))).alias("value"))
+    return artifacts.parse_pairs(files).select("id", "bucket", "claim", "source_url", "verdict", "entailed", "answerable")
+
+
+@query("""WITH l AS (SELECT quality = 1 AS a, toxic = 0 AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), m AS (SELECT count(*) AS n, avg((a = b)::INT) AS observed, avg(a::INT) AS px, avg(b::INT) AS py FROM l)
+SELECT n, round(observed, 6) AS observed, round(px * py + (1 - px) * (1 - py), 6) AS expected, round((observed - (px * py + (1 - px) * (1 - py))) / nullif(1 - (px * py + (1 - px) * (1 - py)), 0), 6) AS kappa FROM m""")
+def cohen_kappa(spark, d):
+    k = evaluate.kappa(relations.read(spark, d, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b")), "a", "b")
+    return k.select("n", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+@query("""WITH r AS (SELECT doc_id, unnest([quality, 1 - toxic, (doc_id % 7 > 0)::INT]) AS c FROM (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1)),
+e AS (SELECT doc_id, c, count(*) AS k FROM r GROUP BY ALL), i AS (SELECT doc_id, sum(k * (k - 1)) / 6.0 AS p FROM e GROUP BY 1), s AS (SELECT sum(k * k) / pow(sum(k), 2) AS x FROM (SELECT c, sum(k) AS k FROM e GROUP BY 1))
+SELECT count(*) AS n, round(avg(p), 6) AS observed, round(any_value(x), 6) AS expected, round((avg(p) - any_value(x)) / (1 - any_value(x)), 6) AS kappa FROM i, s""")
+def fleiss_kappa(spark, d):
+    one = relations.read(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    votes = F.array(F.col("quality").cast("int"), (1 - F.col("toxic")).cast("int"), (F.col("doc_id") % 7 > 0).cast("int"))
+    k = evaluate.fleiss_kappa(one.select(F.col("doc_id").alias("item"), F.explode(votes).alias("category")))
+    return k.select("n", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
 
 
 __all__ = ["QUERIES", "SQL"]

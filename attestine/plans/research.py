@@ -6,12 +6,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from attestine.functions.anchors import anchor_ladder, proportional_near
 from attestine.functions.pages import main_text, visible_text
+from attestine.functions.spans import sentence_claims
+from attestine.functions.tokens import pinned
 from attestine.operators.binder import BinderConfig, bind
-from attestine.operators.gate import is_ok
+from attestine.operators.evaluate import ledger
+from attestine.operators.gate import is_ok, is_sentinel, source_pool, source_status
 from attestine.operators.ranking import diversify, relevance_rerank, rrf_fuse, top_sources
 from attestine.sources.artifacts import digest
 
@@ -34,23 +36,50 @@ def search(hits: DataFrame, k: int = 6) -> DataFrame:
 
 
 def bind_nearest(claims: DataFrame, sources: DataFrame, config: BinderConfig | None = None, k: int = 3) -> DataFrame:
-    """Every claim with the first of its k nearest citable sources that supports it, or unverified.
+    """Every claim with the first of its k nearest citable sources that supports it where it can be shown, or unverified.
 
-    claim_id, claim, status, source_id, url, cited_span, start, end, entailment. Only the nearest sources are cut
-    into spans; text joins the pairs after the ranking, which works on words alone.
+    claim_id, claim, status, source_id, url, cited_span, start, end, entailment, strategy; n_tried, best_entailment and
+    best_symbolic_ok tell of the sources tried, also of claims that stay unverified. Only the nearest sources are cut
+    into spans; text joins the pairs after the ranking, which works on words alone. Where sources have a `target`, the
+    text of their snapshot, a cited span counts only if it can be anchored there; else the next source is tried.
     """
     ok = sources.filter(F.col("verdict") == "OK")
     near = top_sources(claims, ok, k)
     pairs = near.join(ok, "source_id").join(claims.select("claim_id", "claim"), "claim_id")
-    bound = bind(pairs.select("claim_id", "claim", "source_id", "source_rank", F.col("url").alias("source_url"), F.col("text").alias("source_text"), "verdict"), config)
-    hit = F.struct("source_rank", "source_id", "source_url", "cited_span", "cited_start", "entailment")
-    best = bound.filter("cited").groupBy("claim_id").agg(F.min(hit).alias("hit"))
+    target = F.col("target") if "target" in sources.columns else F.lit(None).cast("string")
+    bound = bind(pairs.select("claim_id", "claim", "source_id", "source_rank", F.col("url").alias("source_url"), F.col("text").alias("source_text"), "verdict", target.alias("target")), config)
+    if "target" in sources.columns:
+        shown = bound.withColumn("quote", F.col("cited_span")).withColumn("near", proportional_near(F.col("cited_start"), F.length("source_text"), F.length("target")))
+        bound = anchor_ladder(pinned(shown, "near")).withColumn("strategy", F.col("anchor.strategy")).withColumn("stands", F.col("cited") & F.col("anchor").isNotNull())
+    else:
+        bound = bound.withColumn("strategy", F.lit(None).cast("string")).withColumn("stands", F.col("cited"))
+    hit = F.struct("source_rank", "source_id", "source_url", "cited_span", "cited_start", "entailment", "strategy")
+    best = bound.groupBy("claim_id").agg(
+        F.min(F.when(F.col("stands"), hit)).alias("hit"), F.count(F.lit(1)).alias("n_tried"), F.max(F.struct("entailment", (-F.col("source_rank")).alias("r"), "symbolic_ok")).alias("best")
+    )
     return claims.join(best, "claim_id", "left").select(
         "claim_id", "claim", F.when(F.col("hit").isNotNull(), "cited").otherwise("unverified").alias("status"), "hit.source_id", F.col("hit.source_url").alias("url"), "hit.cited_span",
-        F.col("hit.cited_start").cast("long").alias("start"), (F.col("hit.cited_start") + F.length("hit.cited_span")).cast("long").alias("end"), F.round("hit.entailment", 6).alias("entailment"),
+        F.col("hit.cited_start").cast("long").alias("start"), (F.col("hit.cited_start") + F.length("hit.cited_span")).cast("long").alias("end"), F.round("hit.entailment", 6).alias("entailment"), "hit.strategy",
+        F.coalesce("n_tried", F.lit(0)).cast("long").alias("n_tried"), F.round("best.entailment", 6).alias("best_entailment"), F.col("best.symbolic_ok").alias("best_symbolic_ok"),
     )
 
 
+def research(questions: DataFrame, candidates: DataFrame, sources: DataFrame, drafts: DataFrame, config: PipelineConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole run: (claims, ledger). questions (question_id), candidates (question_id, rank, n_urls, source_id), drafts (question_id, draft).
+
+    The pool of a question is cut, a draft that only says that nothing was found makes no claims, the sentences of the
+    others are bound to sources of the pools, anchored, and counted: cited, unverified, and sources that were excluded.
+    """
+    c = config or PipelineConfig()
+    pool = source_pool(candidates, c.k_sources).select("source_id").distinct()
+    judged = sources.join(pool, "source_id", "left_semi")
+    told = drafts.join(questions.select("question_id"), "question_id", "left_semi").filter(~is_sentinel(F.col("draft"), c.sentinel))
+    claims = told.select("question_id", F.posexplode(sentence_claims(F.col("draft"))).alias("k", "s"))
+    claims = claims.select((F.col("question_id") * 1000 + F.col("k")).alias("claim_id"), F.col("s.text").alias("claim"))
+    bound = bind_nearest(claims, judged, c.binder, c.sources_per_claim)
+    return bound, ledger(bound, judged.select(source_status(F.col("verdict"), F.col("text")).alias("status")))
+
+
 def spine(requests: DataFrame, pages: DataFrame, config: BinderConfig | None = None) -> DataFrame:
     """One claim against one page: url, claim, stage, reason, quote, sha256, anchor.
 
@@ -97,9 +126,3 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, most: int = 5) -> DataFr
             (F.col("n_hops") + go.cast("int")).alias("n_hops"), F.when(~F.col("done") & unsafe, "unsafe").when(loop, "loop").when(over, "too many redirects").otherwise(F.col("reason")).alias("reason"), (~go).alias("done"),
         )
     return at.select("start", "url", "n_hops", "reason")
-
-
-def first_cited(bound: DataFrame) -> DataFrame:
-    """The row of the first source that cites, for each claim."""
-    place = F.row_number().over(Window.partitionBy("claim_id").orderBy("source_rank"))
-    return bound.filter("cited").withColumn("_p", place).filter("_p = 1").drop("_p")

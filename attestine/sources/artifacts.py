@@ -31,14 +31,30 @@ def read_checked(artifacts: DataFrame, bodies: DataFrame, strict: bool = True) -
     return joined.filter(F.assert_true("valid", F.lit("artifact is missing or was changed")).isNull()) if strict else joined
 
 
-def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of a JSON file {"pairs": [...]}, in file order (seq); duplicate ids are an error at run time."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.from_json("value", PAIRS)["pairs"]).alias("seq", "p")).select("seq", "p.*")
+def parse_pairs(files: DataFrame) -> DataFrame:
+    """Pairs of JSON texts {"pairs": [...]} (value), in the order of the text (seq); duplicate ids are an error at run time."""
+    rows = files.select(F.posexplode(F.from_json("value", PAIRS)["pairs"]).alias("seq", "p")).select("seq", "p.*")
     same = F.count(F.lit(1)).over(Window.partitionBy("id"))
     return rows.withColumn("_same", same).filter(F.assert_true(F.col("_same") == 1, F.lit("duplicate pair id")).isNull()).drop("_same")
 
 
+def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of a JSON file."""
+    return parse_pairs(spark.read.text(path, wholetext=True))
+
+
+def receipts(rows: DataFrame, cap: int = 500) -> DataFrame:
+    """receipt_id, seq, html: the newest `cap` receipts of rows (seq, url, quote, html); the id is what url and quote hash to, its last receipt counts."""
+    keyed = rows.withColumn("receipt_id", F.left(F.sha2(F.concat_ws("\n", "url", "quote").cast("binary"), 256), F.lit(16)))
+    last = keyed.groupBy("receipt_id").agg(F.max(F.struct("seq", "html")).alias("r")).select("receipt_id", "r.*")
+    return last.orderBy(F.desc("seq")).limit(cap)
+
+
+#: What a run tells while it goes on, and at its end.
+EVENTS = ("progress", "draft", "result", "error")
+
+
 def event_lines(events: DataFrame) -> DataFrame:
-    """value: one JSON line for each event (type, data, seq), in order of seq within the table's partitions."""
-    return events.select(F.to_json(F.struct("type", "data")).alias("value"))
+    """seq, value: one JSON line for each event (seq, type, data); a type that no client knows is an error at run time. Readers order by seq."""
+    known = events.filter(F.assert_true(F.col("type").isin(*EVENTS), F.lit("unknown event type")).isNull())
+    return known.select("seq", F.to_json(F.struct("type", "data")).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIKIPEDIA = "struct<query:struct<search:array<struct<title:string,snippet:string>>>>"
@@ -46,6 +46,12 @@ def combined(lists: list[DataFrame]) -> DataFrame:
     return out
 
 
+def pasted_urls(text: Column) -> Column:
+    """Addresses of a pasted list, separated by commas or line ends, trimmed; empty ones go."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\n,]+")
+    return F.filter(F.transform(parts, lambda u: F.regexp_replace(u, r"(?U)^\s+|\s+$", "")), lambda u: u != "")
+
+
 def choose_provider(preferred: str | None = None, searxng_url: str | None = None) -> str:
     """wikipedia if asked for, else searxng if there is an instance, else all combined."""
     if preferred == "wikipedia":

@@ -164,3 +164,51 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("claims_out").count() == 2
+
+
+def test_entities_and_frames(spark):
+    assert one(spark, pages.decoded(F.col("t")), t="&rsquo;&eacute;&#8217;&#x1F600;&bogus; a & b &amp;lt; &#0; &apos;&") == "’é’😀&bogus; a & b &lt; &#0; '&"
+    assert one(spark, pages.visible_text(F.col("t")), t='<body><a title="x > y">l&rsquo;a</a> 1 < 2</body>') == "l’a 1 < 2"
+    safe = one(spark, pages.sanitize(F.col("p")), p='<body><frame src="x"><p>kept</p></body>')
+    assert "kept" in safe and "<frame" not in safe
+
+
+def test_model_seams(spark):
+    rows = spark.createDataFrame([("a b", "a b x"), ("a b", "x y")], "claim string, span string")
+
+    def load():
+        import math  # stands for a model's library, which only workers need
+
+        return lambda claims, spans: [math.floor(len(set(c.split()) & set(s.split()))) / len(c.split()) for c, s in zip(claims, spans, strict=True)]
+
+    assert [r.s for r in rows.select(binder.model_scorer(load)(F.col("claim"), F.col("span")).alias("s")).collect()] == [1.0, 0.0]
+    long = "x " * 100 + "a b"
+    score = binder.windowed(binder.lexical_score, words=10, most=24)
+    assert one(spark, score(F.lit("a b"), F.col("t")), t=long) == 1.0 and one(spark, score(F.lit("a b"), F.col("t")), t="x " * 300 + "a b") == 0
+
+
+def test_next_source_where_the_first_cannot_be_shown(spark):
+    text = "The red bridge opened in 1989. Other words follow here."
+    claims = spark.createDataFrame([(1, "The red bridge opened in 1989."), (2, "Nothing like it was said.")], "claim_id int, claim string")
+    sources = spark.createDataFrame([(1, "u1", text, "OK", "gone"), (2, "u2", text + " More.", "OK", text), (3, "u3", text, "BLOCKED", text)], "source_id int, url string, text string, verdict string, target string")
+    got = {r.claim_id: r for r in research.bind_nearest(claims, sources, binder.BinderConfig(tau=0.5, coref=False)).collect()}
+    assert got[1].status == "cited" and got[1].source_id == 2 and got[1].strategy == "exact" and got[1].n_tried == 2
+    assert got[2].status == "unverified" and got[2].best_entailment is not None and got[2].best_entailment < 0.5
+    drafts_ = spark.createDataFrame([(1, "The red bridge opened in 1989."), (2, "The sources do not answer this question")], "question_id int, draft string")
+    pool = spark.createDataFrame([(1, k, 0, s) for k, s in enumerate((1, 2, 3))], "question_id int, rank int, n_urls int, source_id int")
+    bound, counts = research.research(drafts_.select("question_id"), pool, sources, drafts_)
+    assert [(r.claim_id, r.status) for r in bound.collect()] == [(1000, "cited")] and tuple(counts.first()) == (1, 0, 1)
+
+
+def test_events_and_pairs(spark):
+    from attestine.sources import artifacts
+
+    bad = spark.createDataFrame([(1, "other", "x")], "seq int, type string, data string")
+    with pytest.raises(Exception, match="unknown event type"):
+        artifacts.event_lines(bad).collect()
+    twice = spark.createDataFrame([('{"pairs":[{"id":"a"},{"id":"a"}]}',)], "value string")
+    with pytest.raises(Exception, match="duplicate pair id"):
+        artifacts.parse_pairs(twice).collect()
+    assert one(spark, search.pasted_urls(F.col("t")), t=" https://a ,\n\nhttps://b,") == ["https://a", "https://b"]
+    rows = spark.createDataFrame([(1, "a", "q", "h1"), (2, "a", "q", "h2"), (3, "b", "q", "h3")], "seq int, url string, quote string, html string")
+    assert [(r.seq, r.html) for r in artifacts.receipts(rows, 2).collect()] == [(3, "h3"), (2, "h2")]
