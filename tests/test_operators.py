@@ -189,7 +189,7 @@ def test_model_seams(spark):
 
 def test_next_source_where_the_first_cannot_be_shown(spark):
     text = "The red bridge opened in 1989. Other words follow here."
-    claims = spark.createDataFrame([(1, "The red bridge opened in 1989."), (2, "Nothing like it was said.")], "claim_id int, claim string")
+    claims = spark.createDataFrame([(1, "The red bridge opened in 1989."), (2, "Other things were never said.")], "claim_id int, claim string")
     sources = spark.createDataFrame([(1, "u1", text, "OK", "gone"), (2, "u2", text + " More.", "OK", text), (3, "u3", text, "BLOCKED", text)], "source_id int, url string, text string, verdict string, target string")
     got = {r.claim_id: r for r in research.bind_nearest(claims, sources, binder.BinderConfig(tau=0.5, coref=False)).collect()}
     assert got[1].status == "cited" and got[1].source_id == 2 and got[1].strategy == "exact" and got[1].n_tried == 2
