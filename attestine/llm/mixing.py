@@ -9,8 +9,8 @@ next one the prefix of documents whose tokens before them are under what is left
 Only per-leaf totals reach the driver: they are as many as leaves, and the water-filling runs on those. The prefix
 of a leaf is found from sums over slices of the hash range, so that no leaf, however large, meets in one task.
 
-Defined cases: null domain, language or source is the leaf part '' (empty); a null or empty text has no tokens and
-is taken with the epoch it falls into; rows with one doc_id are taken together; a leaf
+Defined cases: null domain, language or source is the leaf part '' (empty); over MOST_LEAVES leaves are an error; a null or empty text has no tokens and
+is taken with the epoch it falls into; the last document of a leaf may go over its budget; rows with one doc_id are taken together; a leaf
 without a weight counts with weight 1; extra columns pass through; an empty table gives no rows.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from attestine.llm import storage
 
 SLICE_ROWS = 20_000  # rows of a slice of a leaf, on average
+MOST_LEAVES = 200_000  # totals that the driver fills and broadcasts; more leaves are an error, as weights by host name would make
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,9 @@ def _mixed(docs: DataFrame, total_tokens: int | float, weights: Weights, *, doma
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     leaf = F.struct(blank(domain if domain is not None else F.lit("")).alias("domain"), blank(F.col("lang")).alias("lang"), blank(F.col("source")).alias("source"))
     counted = storage.materialize(docs.select("doc_id", leaf.alias("leaf"), (tokens if tokens is not None else word_count()).alias("n_tokens")), "mix-counts")
-    per = counted.groupBy("leaf").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # as many rows as leaves
+    per = counted.groupBy("leaf").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MOST_LEAVES + 1).collect()  # as many rows as leaves
+    if len(per) > MOST_LEAVES:
+        raise ValueError(f"over {MOST_LEAVES} leaves: mix by a coarser source")
     supply = {tuple(r["leaf"]): r["tokens"] for r in per}
     if isinstance(total_tokens, float):
         total_tokens = total_tokens * sum(supply.values())
