@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,8 +152,8 @@ def ppm_bits(train, data, order=3):
         for k in range(3, len(p)):
             for o in range(order + 1):
                 tables[o][p[k - o : k], p[k]] += 1
-    bits, p = 0.0, b"\n\n\n" + data
-    for k in range(3, len(p)):
+    bits, p = 0.0, b"\n" * depth + data
+    for k in range(depth, len(p)):
         gone, chance = set(), 1.0
         for o in range(order, -1, -1):
             have = {s: n for s in range(256) if s not in gone and (n := tables[o][p[k - o : k], s])}
@@ -182,12 +183,12 @@ def test_ppm_code_lengths():
         assert got == pytest.approx(ppm_bits(train, b), rel=1e-4, abs=1e-3)
 
 
-def ctw_bits(train, data, depth=3):
+def ctw_bits(train, data, depth=ctw.DEPTH):
     """Straightforward context tree weighting with frozen counts."""
     counts = {}
     for b in train:
-        p = b"\n\n\n" + b
-        for k in range(3, len(p)):
+        p = b"\n" * depth + b
+        for k in range(depth, len(p)):
             for d in range(depth + 1):
                 node = 1
                 for bit in range(7, -1, -1):
@@ -207,8 +208,8 @@ def ctw_bits(train, data, depth=3):
             memo[key] = own if len(key[0]) == depth else np.logaddexp(own, sum(weighted(c) for c in children[key])) - math.log(2)
         return memo[key]
 
-    bits, p = 0.0, b"\n\n\n" + data
-    for k in range(3, len(p)):
+    bits, p = 0.0, b"\n" * depth + data
+    for k in range(depth, len(p)):
         node = 1
         for bit in range(7, -1, -1):
             x, left, chance = p[k] >> bit & 1, 1.0, 0.0
@@ -240,12 +241,47 @@ def test_context_tree_and_base_score(spark):
         assert rows[k].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)))
     for k in (0, 1, 9, 12, 201):
         assert rows[k].score == pytest.approx(-ctw_bits(seen, every[k].lower().encode()) * math.log10(2), rel=1e-4, abs=1e-6)
-    few = {r.doc_id: r.score for r in ctw.score(table, ~lang_ppm.held_out(7, 2), max_contexts=5).collect()}
-    assert all(math.isfinite(s) and s <= 0 for s in few.values())
+    for most in (0, 60):  # grams that are not broadcast give the same scores, in rows of their own where a text has many
+        few = {r.doc_id: r.score for r in ctw.score(table, ~lang_ppm.held_out(7, 2), heavy_grams=most).collect()}
+        assert all(few[k] == pytest.approx(r.score, rel=1e-9) for k, r in rows.items())
+    flat = {r.doc_id: r.score for r in ctw.score(table, ~lang_ppm.held_out(7, 2), depth=3).collect()}
+    assert flat[9] == pytest.approx(-ctw_bits(seen, every[9].lower().encode(), 3) * math.log10(2), rel=1e-6)
     none = ctw.score(table, F.lit(False)).filter("doc_id = 0").first()
     assert none.train_tokens == 0 and none.bits_per_byte == pytest.approx(8)
 
 
+def test_context_tree_on_odd_tables(spark):
+    long = text(5, 60_000)
+    rows = [(1, long, "en", "s", 1.0), (1, long, "en", "s", 1.0), (None, "x" * 1000, "en", "s", 1.0), (3, "é", None, None, None), (4, None, None, None, None)]
+    table = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.lit("x")).withColumn("rare", F.lit(1)).withColumn("uid", F.lit(0)).withColumn("gram", F.lit(0))
+    got = ctw.score(table, F.lit(True)).collect()
+    few = ctw.score(table, F.lit(True), heavy_grams=0).collect()
+    by = lambda rs: sorted((r.doc_id or 0, r.score) for r in rs)
+    assert len(got) == len(few) == 5 and len(long) > ctw._RARE
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-9) for a, b in zip(by(got), by(few), strict=True))
+    assert by(got)[0][0] == 0 and {s for k, s in by(got) if k == 4} == {0.0} and len({s for k, s in by(got) if k == 1}) == 1
+    assert ctw.score(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_whole_subtrees(monkeypatch):
+    monkeypatch.setattr(ctw, "_BLOCK", 20)
+    r = random.Random(1)
+    gram = np.sort(np.unique([r.randrange(12) << 24 | r.randrange(1 << 24) for _ in range(600)] + list(range(5 << 24, (5 << 24) + 90))))
+    batches = [pa.RecordBatch.from_arrays([pa.array(gram[k : k + 7]), pa.array(gram[k : k + 7] % 5)], ["gram", "n"]) for k in range(0, len(gram), 7)]
+    blocks = list(ctw.whole_subtrees(iter(batches), 5))
+    assert np.array_equal(np.concatenate([g for g, _ in blocks]), gram) and all(np.array_equal(n, g % 5) for g, n in blocks)
+    assert len(blocks) > 5 and all(a[0][-1] >> 24 < b[0][0] >> 24 for a, b in zip(blocks, blocks[1:], strict=False))
+
+
+def test_long_texts_in_pieces():
+    r = random.Random(3)
+    data = np.array([r.randrange(256) for _ in range(5000)], np.uint8)
+    offs = np.array([0, 0, 1, 3, 700, 700, 701, 5000])
+    whole = ctw.path_grams(data, offs, 0, 5000, 5)
+    assert np.array_equal(np.concatenate([ctw.path_grams(data, offs, lo, min(lo + 7, 5000), 5) for lo in range(0, 5000, 7)]), whole)
+    assert whole[700] == int.from_bytes(bytes([10] * 5 + [data[700]]), "big") and whole[699] == int.from_bytes(bytes([*data[694:699][::-1], data[699]]), "big")
+
+
 def test_spot_signatures(spark):
     table = docs(spark).filter("doc_id < 30 OR doc_id >= 200")
     rows = {r.doc_id: r for r in spotsigs.fingerprints(table).collect()}
