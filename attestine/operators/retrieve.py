@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from attestine.functions.spans import candidate_spans
 from attestine.functions.tokens import squeeze, word_tokens
 from attestine.operators.gate import cite_gate
 from attestine.operators.ranking import cosine_topk
 
 
-def hashed_words(text: Column, dim: int = 256) -> Column:
-    """array<double>: counts of tokens in buckets of an 8-byte blake2b hash, to length 1; all zeros without tokens."""
+def hashed_words(text: Column, dim: int = 256, digest: str = "blake2b") -> Column:
+    """array<double>: counts of tokens in buckets of an 8-byte hash (blake2b, or the first half of md5), to length 1; all zeros without tokens."""
     if dim < 1:
         raise ValueError("dim must be positive")
+    if digest not in ("blake2b", "md5"):
+        raise ValueError("digest must be blake2b or md5")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(tokens: pd.Series) -> pd.Series:
@@ -29,7 +32,8 @@ def hashed_words(text: Column, dim: int = 256) -> Column:
 
         def bucket(word: str) -> int:
             if word not in known:
-                known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big") % dim
+                raw = hashlib.blake2b(word.encode(), digest_size=8).digest() if digest == "blake2b" else hashlib.md5(word.encode()).digest()[:8]
+                known[word] = int.from_bytes(raw, "big") % dim
             return known[word]
 
         out = []
@@ -48,6 +52,20 @@ def retrieve(claims: DataFrame, candidates: DataFrame, k: int = 5, *, ok_only: b
     return cosine_topk(claims.withColumnRenamed("claim_id", "query_id"), pool, max(k, 0)).withColumnRenamed("query_id", "claim_id")
 
 
+def retrieve_spans(claims: DataFrame, sources: DataFrame, k: int = 5, *, dim: int = 256, digest: str = "blake2b") -> DataFrame:
+    """claim_id, span_text, rank: the k candidate spans of all sources that may be cited nearest to each claim (claim_id, claim) by hashed words.
+
+    sources: source_id, text, verdict. Ties go to the smaller source_id, then to the earlier span. Vectors of spans are
+    made where the texts are and never shuffled; texts are read a second time for the few spans that were chosen.
+    """
+    found = cite_gate(sources).select("source_id", "verdict", F.posexplode(candidate_spans(F.coalesce("text", F.lit("")))).alias("at", "span"))
+    pool = found.select((F.shiftleft("source_id", 32) + F.col("at")).alias("item_id"), hashed_words(F.col("span.text"), dim, digest).alias("vector"), "verdict")
+    asked = claims.select("claim_id", hashed_words(F.col("claim"), dim, digest).alias("vector"))
+    top = retrieve(asked, pool, k).select("claim_id", F.shiftright("item_id", 32).alias("source_id"), F.col("item_id").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "rank")
+    texts = sources.select("source_id", F.coalesce("text", F.lit("")).alias("text")).join(top, "source_id")
+    return texts.select("claim_id", F.get(candidate_spans(F.col("text")), F.col("at"))["text"].alias("span_text"), F.col("rank").cast("long").alias("rank"))
+
+
 def is_hit(spans: Column, gold: Column) -> Column:
     """Any span is the gold span, holds it or is held by it, but for case and white space; a blank gold span is never hit."""
     want = squeeze(gold)

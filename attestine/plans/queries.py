@@ -505,12 +505,23 @@ def ledger(spark, d):
 
 
 def _retrieved(spark, d):
-    near = _nearest(spark, d).filter("source_rank = 1")
-    rows = near.select("claim_id", F.posexplode(spans.naive_sentences(F.col("text"))).alias("k", "span_text"))
-    return rows.select("claim_id", "span_text", (F.col("k") + 1).alias("rank")).filter("rank <= 5")
+    return retrieve.retrieve_spans(relations.claims(spark, d), relations.ok_sources(spark, d), 5, dim=256, digest="md5")
+
+
+def _bucket(w: str) -> str:
+    return f"('0x' || substr(md5({w}), 15, 2))::INTEGER"
 
 
-_RETRIEVED = rf"""WITH {_SOURCES}, {_CLAIMS}, {_top('top', 'TRUE')}, rt AS (SELECT t.claim_id, list_filter(string_split(regexp_replace({_strip('s.text')}, '([.!?])(\s+)', '\1' || chr(2), 'g'), chr(2)), lambda x: x <> '')[1:5] AS ss FROM top t JOIN sources s USING (source_id) WHERE source_rank = 1),
+_RETRIEVED = rf"""WITH {_SOURCES}, {_CLAIMS}, okd AS (SELECT source_id AS id, text AS body FROM sources WHERE verdict = 'OK'), {_spans('osp', 'okd')},
+qb AS (SELECT claim_id, {_bucket('w')} AS b, count(*) AS n FROM (SELECT claim_id, unnest({_tok('claim')}) AS w FROM claims) GROUP BY ALL),
+ib AS (SELECT id, idx, {_bucket('w')} AS b, count(*) AS n FROM (SELECT id, idx, unnest({_tok('text')}) AS w FROM osp) GROUP BY ALL),
+ql AS (SELECT claim_id, sqrt(sum(n * n)) AS l FROM qb GROUP BY ALL),
+il AS (SELECT id, idx, sqrt(sum(n * n)) AS l FROM ib GROUP BY ALL),
+dt AS (SELECT claim_id, id, idx, sum(qb.n * ib.n) AS p FROM qb JOIN ib USING (b) GROUP BY ALL),
+cs AS (SELECT c.claim_id, o.id, o.idx, o.text, coalesce(round(p / (ql.l * il.l), 9), 0) AS cosine FROM claims c CROSS JOIN osp o
+  LEFT JOIN dt ON dt.claim_id = c.claim_id AND dt.id = o.id AND dt.idx = o.idx LEFT JOIN ql ON ql.claim_id = c.claim_id LEFT JOIN il ON il.id = o.id AND il.idx = o.idx),
+tk AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY cosine DESC, id, idx) AS rank FROM cs QUALIFY rank <= 5),
+rt AS (SELECT claim_id, list(text ORDER BY rank) AS ss FROM tk GROUP BY ALL),
 hit AS (SELECT c.claim_id, c.claim, coalesce(r.ss, []) AS ss, len(list_filter(coalesce(r.ss, []), lambda x: contains(lower(regexp_replace(c.claim, '\s+', ' ', 'g')), trim(lower(regexp_replace(x, '\s+', ' ', 'g')))) OR contains(trim(lower(regexp_replace(x, '\s+', ' ', 'g'))), lower(regexp_replace(c.claim, '\s+', ' ', 'g'))))) > 0 AS is_hit
   FROM claims c LEFT JOIN rt r USING (claim_id)) """
 

@@ -1,3 +1,8 @@
+import hashlib
+import math
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +117,25 @@ def test_retrieval(spark):
     assert sum(x * x for x in v) == pytest.approx(1) and one(spark, retrieve.hashed_words(F.col("t"), 4), t="!") == [0.0] * 4
 
 
+def test_retrieved_spans(spark):
+    """Against all pairs of claims and spans, whole texts; sources that may not be cited give none."""
+    texts = {1: "The river rose. It fell again in May! The river rose by two metres.", 2: "Exports grew. A river, a hill. " * 30 + "The river rose by two metres in June.", 3: "The river rose by two metres.", 4: "", 5: None}
+    rows = [(k, t, "BLOCKED" if k == 3 else "OK") for k, t in texts.items()]
+    claims = {7: "The river rose by two metres.", 8: "exports grew in may", 9: "!"}
+    got = retrieve.retrieve_spans(spark.createDataFrame(list(claims.items()), "claim_id long, claim string"), spark.createDataFrame(rows, "source_id long, text string, verdict string"), 5, digest="md5")
+    pool = [(k, at, x) for k, t in texts.items() if t and k != 3 for at, x in enumerate(re.split(r"(?<=[.!?])\s+", t.strip()))]
+
+    def vector(t):
+        return Counter(int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") % 256 for w in re.findall("[a-z0-9]+", t.lower()))
+
+    def cosine(a, b):
+        a, b = vector(a), vector(b)
+        return round(sum(a[x] * b[x] for x in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())), 9) if a and b else 0.0
+
+    want = {(c, r + 1, x) for c, t in claims.items() for r, (_, _, x) in enumerate(sorted(pool, key=lambda p: (-cosine(t, p[2]), p[0], p[1]))[:5])}
+    assert {(r.claim_id, r.rank, r.span_text) for r in got.collect()} == want
+
+
 def test_anchor_ladder(spark):
     rows = [("the cat sat", "xx the cat sat, the cat sat", 14), ("the  cat\nsat", "xx the cat­ sat", None), ("the quick brown fox jumps", "say the quick brown fax jumps now", None), ("zzz", "abc", None), ("", "abc", None)]
     got = [r.anchor for r in anchors.anchor_ladder(spark.createDataFrame(rows, "quote string, target string, near int")).orderBy(F.desc("quote")).collect()]
