@@ -1,20 +1,16 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings: bundles of windows by minimizers, then pairs of half-window fingerprints.
 
 Every byte that a string of `length` bytes covers which also starts earlier (smaller doc_id, or earlier in the same
-document) is removed. A position's rank stands for the class of equal strings that start there; ranks of half the
-length, paired with the rank at the offset of that half and sorted together, give the ranks of the full length, and
-this last step of doubling already passes the threshold. Ranks are 64-bit fingerprints rather than ordinals, so ranks
-of the first half need no sort of all positions.
-
-Doubling over every position would sort the corpus many times over, so positions are grouped first, without loss:
-a window of `length` bytes belongs to its least k-gram (its minimizer), and consecutive windows with one minimizer are
-a bundle. Equal windows have equal minimizers at the same place. So
-
-1. bundles are counted by minimizer; those whose minimizer is unique hold no repeated window and go (a position
-   whose rank is unique needs no further round);
-2. bundles that are equal as a whole (the common case) are ranked as one string: all but the first are removed;
+document) is removed. This replaces prefix doubling, whose rounds of rank pairs over positions don't fit the limits of
+disk (figures are in the README); there are no growing offsets and no rounds here.
+
+Positions are grouped first, without loss: a window of `length` bytes belongs to its least k-gram (its minimizer), and
+consecutive windows with one minimizer are a bundle. Equal windows have equal minimizers at the same place. So
+
+1. bundles are counted by minimizer; those whose minimizer is unique hold no repeated window and go;
+2. bundles that are equal as a whole (the common case) are told by hash: all but the first are removed;
 3. only of the first of each class of equal bundles, and only where another, different bundle has its minimizer, are
-   the positions ranked one by one, in rank pairs.
+   the positions compared one by one, by a pair of 64-bit fingerprints of the window's halves.
 
 Runs of one byte and short periods would make a bundle of every window or two; there, a window that the same text holds
 earlier is removed at once, and only the first of each remains.
