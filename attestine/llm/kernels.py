@@ -6,6 +6,7 @@ loop over words. The module is pickled by value, so that executors need no copy
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -24,6 +25,16 @@ def worker_cache() -> types.ModuleType:
     return sys.modules.setdefault("_attestine_worker_cache", types.ModuleType("_attestine_worker_cache"))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a reused worker else keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    cache = worker_cache()
+    if not hasattr(cache, "trim"):
+        cache.trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if cache.trim:
+        cache.trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit integers (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -92,6 +103,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES):
         last = max(first + 1, int(np.searchsorted(offs, offs[first] + most, "right")) - 1)
         yield first, last, data[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
         first = last
+    trim()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -177,6 +177,7 @@ def _meet(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
                     ["hub", "doc_id", "size", "hub_size", "linked", "sketch", "residue"],
                 )
                 at += rows
+            kernels.trim()
 
     return both.mapInArrow(run, MET)
 
@@ -219,6 +220,7 @@ def _compare(percent: int, samples: int, floor: float):
     """Of one block, links (a, b) between its rows that look for partners and those of other components, by sketches first."""
 
     def run(block: pa.Table) -> pa.Table:
+        kernels.trim()
         block = block.combine_chunks()
         seeks = block["seeks"].to_numpy(zero_copy_only=False).astype(bool)
         sides = [block.filter(pa.array(m)).combine_chunks() for m in (seeks, ~seeks)]
