@@ -713,11 +713,12 @@ def safe_url(spark, d):
 c AS (SELECT page_id AS start, page_id AS at, 0 AS n FROM pages UNION ALL SELECT c.start, h.next, c.n + 1 FROM c JOIN h ON h.page_id = c.at WHERE h.next IS NOT NULL AND h.next IN (SELECT page_id FROM pages) AND c.n < 5)
 SELECT p.url AS start, max(n) AS n_hops, p.page_id % 8 < 2 AND p.page_id + 6 <= (SELECT max(page_id) FROM pages) AS stopped FROM c JOIN pages p ON p.page_id = c.start GROUP BY p.url, p.page_id""")
 def redirect_chain(spark, d):
-    p = relations.read(spark, d, "pages").select("page_id", "url")
-    to = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("location")).filter("page_id % 8 <> 7")
-    hops = p.join(to, "page_id", "left").select("url", "location", F.lit(True).alias("safe"))
-    out = research.redirect_chains(p.select("url"), hops)
-    return out.select("start", F.col("n_hops").cast("long").alias("n_hops"), F.col("reason").isNotNull().alias("stopped"))
+    """Pages share addresses, so a chain goes from page to page: page_id stands for the address."""
+    p = relations.read(spark, d, "pages").select("page_id", "url").distinct()
+    ids = p.select(F.col("page_id").alias("url")).distinct()
+    to = ids.select((F.col("url") - 1).alias("url"), F.col("url").alias("location")).filter("url % 8 <> 7")
+    out = research.redirect_chains(ids, ids.join(to, "url", "left").withColumn("safe", F.lit(True)))
+    return p.join(out.withColumnRenamed("start", "page_id").drop("url"), "page_id").select(F.col("url").alias("start"), F.col("n_hops").cast("long").alias("n_hops"), F.col("reason").isNotNull().alias("stopped"))
 
 
 @query()

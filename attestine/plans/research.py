@@ -108,7 +108,7 @@ def research_report(questions: DataFrame, claims: DataFrame, sources: DataFrame)
 
 
 def redirect_chains(starts: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
-    """start, url, n_hops, reason: where each start ends. hops (url, location, safe); at most `most` redirects.
+    """start, url, n_hops, reason: where each start ends. hops (url, location, safe), one of each url; at most `most` redirects.
 
     reason: null, 'unsafe', 'loop' or 'too many redirects'. Each hop is one join; a finished chain meets nothing.
     """

@@ -236,3 +236,21 @@ def test_events_and_pairs(spark):
     assert one(spark, search.pasted_urls(F.col("t")), t=" https://a ,\n\nhttps://b,") == ["https://a", "https://b"]
     rows = spark.createDataFrame([(1, "a", "q", "h1"), (2, "a", "q", "h2"), (3, "b", "q", "h3")], "seq int, url string, quote string, html string")
     assert [(r.seq, r.html) for r in artifacts.receipts(rows, 2).collect()] == [(3, "h3"), (2, "h2")]
+
+
+def same_as_sql(spark, name, pages, tmp_path):
+    """The query's rows and its SQL's, over pages (page_id, url, html)."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    return got, sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_redirects_between_pages_of_one_address(spark, tmp_path):
+    got, told = same_as_sql(spark, "redirect_chain", [(k, f"u{k % 11}" if k < 30 else f"u{k // 2}", "x") for k in range(60)], tmp_path)
+    assert got == told and len(got) == 60
