@@ -228,9 +228,9 @@ def source_status(spark, d):
 @query("SELECT url, CASE WHEN page_id % 5 = 0 AND page_id % 10 = 0 THEN 'OK' WHEN page_id % 5 = 0 THEN 'EMPTY_SHELL' ELSE 'OK' END AS verdict, CASE WHEN page_id % 10 = 0 THEN 'rendered' ELSE 'direct' END AS tactic FROM pages")
 def escalate_shells(spark, d):
     p = relations.read(spark, d, "pages")
-    fetches = p.select("url", F.when(F.col("page_id") % 5 == 0, "EMPTY_SHELL").otherwise("OK").alias("verdict"), F.col("html").alias("body"), F.lit("direct").alias("tactic"))
-    rendered = p.filter("page_id % 10 = 0").select("url", F.lit("OK").alias("verdict"), F.col("html").alias("body"))
-    return gate.acquire(fetches, rendered).select("url", "verdict", "tactic")
+    fetches = p.select("page_id", "url", F.when(F.col("page_id") % 5 == 0, "EMPTY_SHELL").otherwise("OK").alias("verdict"), F.col("html").alias("body"), F.lit("direct").alias("tactic"))
+    rendered = p.filter("page_id % 10 = 0").select("page_id", F.lit("OK").alias("verdict"), F.col("html").alias("body"))
+    return gate.acquire(fetches, rendered, "page_id").select("url", "verdict", "tactic")
 
 
 # --- ranking ---------------------------------------------------------------------------------------------------------

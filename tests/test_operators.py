@@ -254,3 +254,11 @@ def same_as_sql(spark, name, pages, tmp_path):
 def test_redirects_between_pages_of_one_address(spark, tmp_path):
     got, told = same_as_sql(spark, "redirect_chain", [(k, f"u{k % 11}" if k < 30 else f"u{k // 2}", "x") for k in range(60)], tmp_path)
     assert got == told and len(got) == 60
+
+
+def test_shells_of_pages_of_one_address(spark, tmp_path):
+    got, told = same_as_sql(spark, "escalate_shells", [(k, f"u{k % 3}", "x") for k in range(40)], tmp_path)
+    assert got == told and len(got) == 40
+    fetch = spark.createDataFrame([("u", "EMPTY_SHELL", "", "direct")], "url string, verdict string, body string, tactic string")
+    again = spark.createDataFrame([("u", "OK", "b"), ("u", "OK", "a")], "url string, verdict string, body string")
+    assert [(r.url, r.verdict, r.body, r.tactic) for r in gate.acquire(fetch, again).collect()] == [("u", "OK", "a", "rendered")]
