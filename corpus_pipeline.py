@@ -26,26 +26,31 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those with no letter go."""
+    storage.free_driver(spark)
     return lang_ppm.keep_recognised(docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
+    storage.free_driver(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity of 0.8 or more."""
+    storage.free_driver(spark)
     return minhash_dedup.deduplicate(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, mixed to the target weights; a leaf gives each document up to four times."""
+    storage.free_driver(spark)
     return mixing.take(docs, 1.0, MIX, domain=mixing.source_domain(), max_epochs=4, seed=7)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 2048 tokens."""
+    storage.free_driver(spark)
     return packing.pack_documents(docs, tokenizer_file())
 
 

@@ -88,3 +88,16 @@ def test_stages_of_an_empty_table(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0, name
         docs = spark.createDataFrame([], COLUMNS)
+
+
+def test_stages_free_the_driver_first(spark, tmp_path, monkeypatch):
+    from attestine.llm import storage
+
+    freed = []
+    monkeypatch.setattr(storage, "free_shuffles", lambda s: freed.append("JVM"))
+    monkeypatch.setattr(storage.kernels, "trim", lambda: freed.append("Python"))
+    docs = spark.createDataFrame([(k, f"some words of document {k}", "en", "s", 1) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        freed.clear()
+        stage(spark, docs, str(tmp_path))
+        assert freed[:2] == ["JVM", "Python"], name
