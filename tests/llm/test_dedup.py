@@ -356,6 +356,55 @@ def test_near_passages_meet():
     assert alike > 100 and met == alike
 
 
+def test_joint_windows_of_repeated_texts():
+    """Windows and their pairs against brute force, where many hashes are equal and functions stand one after the other."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    some = [np.tile(r.integers(0, 1 << 63, n, dtype=np.uint64), 1 + 120 // n)[:120] for n in (3, 40, 120, 7)]
+    first = np.array([0, 4, 60, 60, 112, 120])
+    windows = [compact_windows._windows([x, y], first, 8) for x, y in (some[:2], some[2:])]
+    for (x, y), (lo, c, hi) in zip((some[:2], some[2:]), windows, strict=True):
+        want = set()
+        for k, h in enumerate((x, y)):
+            high = h >> np.uint64(32)
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                for at in range(a, b):
+                    left = max([p + 1 for p in range(a, at) if high[p] <= high[at]], default=a)
+                    right = min([p - 1 for p in range(at + 1, b) if high[p] < high[at]], default=b - 1)
+                    if right - left + 1 >= 8:
+                        want.add((left + 120 * k, at + 120 * k, right + 120 * k))
+        assert set(zip(lo.tolist(), c.tolist(), hi.tolist(), strict=True)) == want and len(lo) == len(want)
+    a, b = windows
+    got = list(zip(*(x.tolist() for x in compact_windows.joint_windows(a, b, 8)), strict=True))
+    fits = lambda i, k: max(a[0][i], b[0][k]) <= min(a[1][i], b[1][k]) and max(a[1][i], b[1][k]) <= min(a[2][i], b[2][k]) and min(a[2][i], b[2][k]) - max(a[0][i], b[0][k]) >= 7
+    assert sorted(got) == [(i, k) for i in range(len(a[0])) for k in range(len(b[0])) if fits(i, k)]
+
+
+def test_may_match_loses_no_match():
+    import numpy as np
+
+    dropped = 0
+    for k, (base, copy) in enumerate(edited_passages(60, seed=77)):
+        repeat = base[:12] * (k % 3)
+        a, b = hashes_of(words(k + 200, 60, 90_000) + base + repeat), hashes_of(repeat + copy + words(k + 500, 60, 90_000))
+        seeds = np.array([(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(b == a[i])])
+        may = compact_windows.may_match(a, b, seeds[:, 0], 46, 0.8) & compact_windows.may_match(b, a, seeds[:, 1], 46, 0.8)
+        dropped += int((~may).sum())
+        assert all(compact_windows.matched_stretch(a, b, int(i), int(j), 46, 0.8) is None for i, j in seeds[~may])
+    assert dropped > 50
+
+
+def test_near_passages_of_copies(spark):
+    """Copies have a row for the whole, and no row that compares them with others."""
+    passage = words(61, 70, 10_000)
+    texts = [words(62, 30, 10_000) + passage, passage + words(63, 80, 10_000)]
+    rows = compact_windows.near_passages(table(spark, [" ".join(texts[k]) for k in (0, 1, 1, 0, 1)] + ["short text"] * 2)).collect()
+    whole = {(r.doc_id, r.start_word, r.end_word, r.like_doc_id) for r in rows if r.doc_id > 1}
+    assert whole == {(2, 0, 150, 1), (3, 0, 100, 0), (4, 0, 150, 1)}
+    assert [(r.doc_id, r.like_doc_id) for r in rows if r.doc_id <= 1] == [(1, 0)] and all(r.similarity >= 0.8 for r in rows)
+
+
 def test_near_dedup_keeps_rows_without_doc_id(spark):
     texts = [(None, "x y z w v u"), (None, "x y z w v u"), (None, None), (None, "q r s t u v w"), (1, "x y z w v u"), (2, "x y z w v u")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
