@@ -10,7 +10,8 @@ consecutive windows with one minimizer are a bundle. Equal windows have equal mi
 1. bundles are counted by minimizer; those whose minimizer is unique hold no repeated window and go;
 2. bundles that are equal as a whole (the common case) are told by hash: all but the first are removed;
 3. only of the first of each class of equal bundles, and only where another, different bundle has its minimizer, are
-   the positions compared one by one, by a pair of 64-bit fingerprints of the window's halves.
+   the positions compared one by one, by a pair of 64-bit fingerprints of the window's halves, a share of the
+   fingerprints after the other.
 
 Runs of one byte and short periods would make a bundle of every window or two; there, a window that the same text holds
 earlier is removed at once, and only the first of each remains.
@@ -31,6 +32,7 @@ ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import sys
 from collections.abc import Iterator
@@ -48,6 +50,7 @@ LENGTH = 100
 GRAM = 50
 MAP_BITS = 27
 BUNDLES_A_FILE = 1 << 15
+SHARES = 4  # of the windows compared one by one, each on its own
 PIECE = 1 << 16  # bytes worked on at once: arrays that stay in the processor's cache
 PLACE_BITS = 28  # of a position within its document
 DENSE, DENSE_RUN = 8, 16  # this many bundles in a row of so few windows: a short period
@@ -261,8 +264,8 @@ def _bundle_bytes(keyed: DataFrame, maps, bits: int, length: int, gram: int, pla
     return keyed.select("base", "text").mapInArrow(run, "at long, n int, bytes binary")
 
 
-def _rank_pairs(rows: DataFrame, length: int, bits: int, seen=None) -> DataFrame:
-    """For every window of the bundles, the ranks of its first half and of the rest at that offset; those in the bit map `seen`, if there is one."""
+def _rank_pairs(rows: DataFrame, length: int, bits: int, part: int = 0, parts: int = 1, seen=None) -> DataFrame:
+    """For every window of the bundles, the ranks of its first half and of the rest at that offset; of `parts` shares by the first rank the one numbered `part`; those in the bit map `seen`, if there is one."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +278,9 @@ def _rank_pairs(rows: DataFrame, length: int, bits: int, seen=None) -> DataFrame
                 a = kernels.span_hash(kernels.prefix_hash(data), at, at + half)
                 b = kernels.span_hash(kernels.prefix_hash(data, 1), at + half, at + length, 1)
                 where = begin[row] + step
+                if parts > 1:
+                    keep = (a >> np.uint64(32)) % np.uint64(parts) == part
+                    a, b, where = a[keep], b[keep], where[keep]
                 if seen is not None:
                     keep = _within(seen.value, a ^ b, bits)
                     a, b, where = a[keep], b[keep], where[keep]
@@ -315,11 +321,20 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map
     ambiguous = storage.materialize(found, "bundle-bytes")
     firsts.unpersist()
     storage.free_shuffles(spark)
-    classes = storage.materialize(_classes(_rank_pairs(ambiguous, length, map_bits), ["r1", "r2"]), "window-classes")
-    storage.free_shuffles(spark)
-    either = classes.select(F.col("r1").bitwiseXOR(F.col("r2")).alias("m"), F.lit(False).alias("differ"))
-    seen = spark.sparkContext.broadcast(_bit_maps(either, map_bits)[0])
-    single = _rank_pairs(ambiguous, length, map_bits, seen).join(classes, ["r1", "r2"]).filter("at > first").select("at", F.lit(1).alias("n"))
+    # equal windows have equal ranks, so that shares by rank are apart: only one share's pairs are on disk at a time
+    singles = []
+    for part in range(SHARES):
+        classes = storage.materialize(_classes(_rank_pairs(ambiguous, length, map_bits, part, SHARES), ["r1", "r2"]), "window-classes")
+        storage.free_shuffles(spark)
+        either = classes.select(F.col("r1").bitwiseXOR(F.col("r2")).alias("m"), F.lit(False).alias("differ"))
+        seen = spark.sparkContext.broadcast(_bit_maps(either, map_bits)[0])
+        repeated = _rank_pairs(ambiguous, length, map_bits, part, SHARES, seen).join(classes, ["r1", "r2"]).filter("at > first").select("at", F.lit(1).alias("n"))
+        singles.append(storage.materialize(repeated, "later-windows"))
+        seen.unpersist()
+        storage.discard(classes)
+        storage.free_shuffles(spark)
+    storage.discard(ambiguous)
+    single = functools.reduce(DataFrame.union, singles)
     # of a text that takes several numbers, each has spans of its own
     longer = keyed.select("base", F.shiftright(F.octet_length("text"), place_bits).alias("more")).filter("more > 0")
     parts = longer.select("base", F.explode(F.sequence(F.lit(0), "more")).alias("k")).select("base", (F.col("base") + F.call_function("shiftleft", F.col("k").cast("long"), F.lit(place_bits))).alias("part"))
@@ -327,8 +342,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, map
     start = (F.col("at") - F.col("base")).cast("int")
     spans = spans.select("base", F.struct(start.alias("start"), (start + F.col("n") + (length - 1)).alias("end")).alias("span"))
     out = storage.materialize(spans.groupBy("base").agg(F.collect_list("span").alias("spans")), "spans")  # bounded by a document's length
-    seen.unpersist()
-    for table in (whole, known, alone, classes, ambiguous):
+    for table in (whole, known, alone, *singles):
         storage.discard(table)
     storage.free_shuffles(spark)
     return out

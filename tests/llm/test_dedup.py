@@ -230,6 +230,16 @@ def test_bundles_of_a_megabyte_of_one_byte():
         assert count.sum() == left and len(repeats) == len(data) - 99 - left
 
 
+def test_rank_pairs_in_shares(spark):
+    """Shares hold every window once, and equal windows are in one share."""
+    text = "".join(random.Random(4).choices("abcdefgh", k=400)).encode()
+    rows = spark.createDataFrame([(0, 301, text), (1 << 28, 301, text)], "at long, n int, bytes binary")
+    whole = [tuple(r) for r in suffix_dedup._rank_pairs(rows, 100, 27).collect()]
+    shares = [[tuple(r) for r in suffix_dedup._rank_pairs(rows, 100, 27, part, 4).collect()] for part in range(4)]
+    assert sorted(sum(shares, [])) == sorted(whole) and len(whole) == 602
+    assert all(shares) and sum(len({r[1:] for r in s}) for s in shares) == len({r[1:] for r in whole}) == 301
+
+
 def test_suffix_dedup_repeated_rows_and_empty(spark):
     text = " ".join(words(8, 50))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
