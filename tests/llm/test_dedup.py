@@ -405,6 +405,49 @@ def test_may_match_loses_no_match():
     assert dropped > 50
 
 
+def test_places_within_a_period_are_not_members():
+    """Of a text that goes round, the first and the last place of a key are left; all that they stand for have a match there, too."""
+    import numpy as np
+
+    goes_round = words(71, 3, 10_000) * 300
+    raw = [" ".join(words(72, 60, 10_000) + goes_round + words(73, 60, 10_000)).encode(), " ".join(words(74, 90, 10_000) + goes_round[:240]).encode()]
+    key, doc, place = compact_windows._keys(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5, 46)
+    assert np.unique(np.stack([key, doc.astype(np.uint64)]), axis=1, return_counts=True)[1].max() == 2 and len(key) < 600
+    a, b = (hashes_of(t.decode().split()) for t in raw)
+    places = [{m: place[(doc == d) & (key == m)] for m in key[doc == d]} for d in range(2)]
+    seeds = [(int(i), int(j)) for m in places[0].keys() & places[1].keys() for i in places[0][m] for j in places[1][m]]
+    assert any(compact_windows.matched_stretch(a, b, i, j, 46, 0.8) for i, j in seeds)
+    value, times = compact_windows._meetings(key, doc, place, 46)
+    far = {m for p in places for m in p if p[m][-1] - p[m][0] >= 46}
+    assert set(value[times > 1].tolist()) == {int(m) for m in far | (places[0].keys() & places[1].keys())}
+
+
+def test_may_meet_loses_no_match():
+    """Both sides together: more pairs of places are left out than by each side alone, none with a match."""
+    import numpy as np
+
+    dropped = alone = 0
+    for k, (base, copy) in enumerate(edited_passages(60, seed=78)):
+        a, b = hashes_of(words(k + 200, 60, 90_000) + base + base[:12] * (k % 3)), hashes_of(base[:12] * (k % 3) + copy + words(k + 500, 60, 90_000))
+        seeds = np.array([(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(b == a[i])])
+        may = compact_windows.may_meet(a, b, seeds[:, 0], seeds[:, 1], 46, 0.8)
+        match = np.array([compact_windows.matched_stretch(a, b, int(i), int(j), 46, 0.8) is not None for i, j in seeds])
+        assert may[match].all()
+        each = compact_windows.may_match(a, b, seeds[:, 0], 46, 0.8) & compact_windows.may_match(b, a, seeds[:, 1], 46, 0.8)
+        dropped, alone = dropped + int((~may).sum()), alone + int((~each).sum())
+    assert dropped > 1.1 * alone > 50
+
+
+def test_joined_classes(spark):
+    pairs = [[(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 31), (31, 21)], [(5, 6), (6, 30)]]
+    comps, seen = None, []
+    for some in pairs:
+        comps = compact_windows._joined_classes(spark.createDataFrame(some, "a long, b long"), comps)
+        seen += some
+        want = components.connected_components(spark.createDataFrame(seen, "a long, b long"))
+        assert sorted(map(tuple, comps.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_near_passages_of_copies(spark):
     """Copies have a row for the whole, and no row that compares them with others."""
     passage = words(61, 70, 10_000)
