@@ -420,6 +420,8 @@ def test_places_within_a_period_are_not_members():
     value, times = compact_windows._meetings(key, doc, place, 46)
     far = {m for p in places for m in p if p[m][-1] - p[m][0] >= 46}
     assert set(value[times > 1].tolist()) == {int(m) for m in far | (places[0].keys() & places[1].keys())}
+    none = compact_windows._keys(np.frombuffer(b"short text", np.uint8), np.array([0, 10]), 5, 46)
+    assert [len(x) for x in compact_windows._meetings(*none, 46)] == [0, 0]
 
 
 def test_may_meet_loses_no_match():
